@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lekhya.llm.structure import end_of
 
-END_SCHEMA = "state string, open_signs string, last_word string, before_last string"
+END_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("state", "open_signs", "last_word", "before_last")])
 
 #: A bare end counts as finished when its word is at least this surely sentence-final.
 FINISHED = 0.5
