@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lekhya.llm.structure import end_of
+from lekhya.llm.structure import FINAL_MARKS, end_of
+from lekhya.plans import cut
 
 END_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("state", "open_signs", "last_word", "before_last")])
 
@@ -24,17 +27,46 @@ def text_end(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(ends, columns=["state", "open_signs", "last_word", "before_last"])
 
 
+WORD_SCHEMA = T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType()), T.StructField("n_final", T.LongType())])
+_MARKS = frozenset(FINAL_MARKS)
+_SIGNS = "\"“”‘’()[]{}<>,;:।॥.?!`*"
+
+#: Distinct tokens a task counts before it hands its partial counts on.
+HELD_TOKENS = 200_000
+
+
+def _counted(tokens: Counter[str]) -> pa.RecordBatch:
+    counts: dict[str, list[int]] = {}
+    for token, n in tokens.items():
+        if word := token.strip(_SIGNS):
+            held = counts.setdefault(word, [0, 0])
+            held[0] += n
+            held[1] += n * (token.rstrip("\"”’)}]*_`")[-1:] in _MARKS)
+    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([n for n, _ in counts.values()], pa.int64()), pa.array([f for _, f in counts.values()], pa.int64())], names=["word", "n", "n_final"])
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tokens: Counter[str] = Counter()
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            if text and (words := text.split()):
+                tokens.update(words[:-1])
+                if words[-1][-1] in FINAL_MARKS:
+                    tokens[words[-1]] += 1
+        if len(tokens) > HELD_TOKENS:
+            yield _counted(tokens)
+            tokens.clear()
+    yield _counted(tokens)
+
+
 def word_ends(texts: DataFrame, text: str) -> DataFrame:
     """For each word of all ``texts``: how often it stands (``n``) and how often right before a sentence-final mark (``n_final``).
 
-    One word-count shuffle of (word, n, n_final), pre-aggregated in each task. The end of a text counts as neither, so
-    a cut text doesn't teach its own stump as final.
+    Counted in each task before one shuffle of (word, n, n_final). The last word of a text counts only when a mark
+    ends it, so a cut text doesn't teach its own stump.
     """
-    tokens = F.regexp_extract_all(F.col(text), F.lit(r"([^\s।॥.?!\"“”()\[\]{},;:`]+)(?=([।॥.?!]+[\"”’)}\]]*(?:\s|$)|\s|[,;:]))"), 0)
-    finals = F.regexp_extract_all(F.col(text), F.lit(r"([^\s।॥.?!\"“”()\[\]{},;:`]+)[।॥?!.]+[\"”’)}\]]*(?:\s|$)"), 1)
-    whole = texts.select(F.explode(tokens).alias("word"), F.lit(0).alias("f"))
-    ending = texts.select(F.explode(finals).alias("word"), F.lit(1).alias("f"))
-    return whole.unionByName(ending).groupBy("word").agg(F.count_if(F.col("f") == 0).alias("n"), F.sum("f").alias("n_final"))
+    counted = texts.select(text).mapInArrow(_count_words, WORD_SCHEMA)
+    return counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_final").alias("n_final"))
 
 
 def surety(n: Column, n_final: Column) -> Column:
@@ -52,6 +84,7 @@ def judged(ends: DataFrame, words: DataFrame, baseline: list[str]) -> DataFrame:
     """
     baseline = [*baseline, "script"]
     ends = ends.withColumn("script", F.when(F.col("last_word").rlike("[\u0900-\u097f]"), "deva").otherwise("other"))
+    ends = cut(ends)  # two readers; the automaton runs once
     known = ends.join(words.select(F.col("word").alias("last_word"), "n", "n_final"), "last_word", "left").withColumn("p_final", surety(F.col("n"), F.col("n_final")))
     bare = F.col("state") == "bare"
     rates = known.filter(bare).groupBy(*baseline).agg(((F.count_if(F.col("p_final") >= FINISHED) + 1) / (F.count(F.lit(1)) + 2)).alias("__b"))
@@ -59,5 +92,5 @@ def judged(ends: DataFrame, words: DataFrame, baseline: list[str]) -> DataFrame:
     joined = known.join(rates, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in baseline], "left")
     p, b = F.col("p_final"), F.greatest(F.least(F.coalesce(F.col("__b"), F.lit(0.5)), F.lit(0.8)), F.lit(0.1))
     finished = (p * b) >= (1 - p) * (1 - b)
-    cut = F.when(F.col("state").isin("broken", "ellipsis", "open"), True).when(bare, ~finished).otherwise(False)
-    return joined.withColumn("is_cut", cut).drop("__b", *(f"__{c}" for c in baseline))
+    verdict = F.when(F.col("state").isin("broken", "ellipsis", "open"), True).when(bare, ~finished).otherwise(False)
+    return joined.withColumn("is_cut", verdict).drop("__b", *(f"__{c}" for c in baseline))
