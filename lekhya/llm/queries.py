@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lekhya.llm import truncation
+from lekhya.llm import canonical, defects, truncation
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": truncation.p1_found,
         "p1_truncation_report": truncation.p1_truncation_report,
+        "p3_found": defects.p3_found,
+        "p3_defect_report": defects.p3_defect_report,
+        "p4_found": canonical.p4_found,
+        "p4_canonical": canonical.p4_canonical,
     }
 
 
