@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lekhya.llm import canonical, defects, truncation
+from lekhya.llm import canonical, defects, pieces, truncation
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_defect_report": defects.p3_defect_report,
         "p4_found": canonical.p4_found,
         "p4_canonical": canonical.p4_canonical,
+        "p6_found": pieces.p6_found,
+        "p6_pieces": pieces.p6_pieces,
     }
 
 
