@@ -6,17 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lekhya.llm import canonical, defects, pieces, truncation
+from lekhya.llm import canonical, defects, groups, overlaps, pieces, truncation
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": truncation.p1_found,
         "p1_truncation_report": truncation.p1_truncation_report,
+        "p2_found": overlaps.p2_found,
+        "p2_overlap_report": overlaps.p2_overlap_report,
         "p3_found": defects.p3_found,
         "p3_defect_report": defects.p3_defect_report,
         "p4_found": canonical.p4_found,
         "p4_canonical": canonical.p4_canonical,
+        "p5_found": groups.p5_found,
+        "p5_splits": groups.p5_splits,
+        "p5_incremental": groups.p5_incremental,
+        "p5_split_report": groups.p5_split_report,
         "p6_found": pieces.p6_found,
         "p6_pieces": pieces.p6_pieces,
     }
