@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lekhya.llm import canonical, defects, groups, overlaps, pieces, truncation
+from lekhya.llm import canonical, containers, defects, groups, mixing, overlaps, pieces, spans, truncation
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,6 +25,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_split_report": groups.p5_split_report,
         "p6_found": pieces.p6_found,
         "p6_pieces": pieces.p6_pieces,
+        "p7_containers": containers.p7_containers,
+        "p7_fill_report": containers.p7_fill_report,
+        "p8_mix": mixing.p8_mix,
+        "p8_share_report": mixing.p8_share_report,
+        "p9_found": spans.p9_found,
+        "p9_shared": spans.p9_shared,
     }
 
 
