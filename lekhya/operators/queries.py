@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lekhya.operators import text_queries  # noqa: F401
+from lekhya.operators import retrieval_queries, text_queries  # noqa: F401
 from lekhya.operators.registry import QUERIES, SQL
 
 
