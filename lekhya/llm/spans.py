@@ -354,5 +354,5 @@ def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     size = F.coalesce(F.length("text"), F.lit(0)).cast("long")
     return documents.select("doc_id", size.alias("n_chars")).join(known, "doc_id", "left").select(
-        "doc_id", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "n_chars", zero("n_shared"), F.round(F.coalesce(F.col("n_shared") / F.col("n_chars"), F.lit(0.0)), 6).alias("shared_share"), zero("n_spans"), zero("longest"), zero("n_linked_texts")
+        "doc_id", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "n_chars", zero("n_shared"), F.round(F.when(F.col("n_shared") > 0, F.col("n_shared") / F.col("n_chars")).otherwise(0.0), 6).alias("shared_share"), zero("n_spans"), zero("longest"), zero("n_linked_texts")
     )
