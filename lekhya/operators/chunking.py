@@ -56,15 +56,15 @@ def overlapped(chunks: list[str], glue: str) -> list[str]:
 
 
 def units(text: str, size: int = SIZE) -> list[str]:
-    """Sentences; one too long is cut at its last mark within the size, hard when that leaves less than half."""
+    """Sentences; one too long is cut behind its last mark up to the size, hard when that leaves less than half."""
     out = []
     for sentence in _SENTENCES.split(text):
         rest = sentence.strip()
         while len(rest) > size:
-            at = next((i for m in UNIT_MARKS if (i := rest.rfind(m, 0, size + 1)) > 0), 0)
+            at = max(rest.rfind(m, 0, size + 1) for m in UNIT_MARKS)
             at = at + 1 if at >= size // 2 else size
-            out.append(rest[: min(at, size)].strip())
-            rest = rest[min(at, size) :].strip()
+            out.append(rest[:at].strip())
+            rest = rest[at:].strip()
         out.append(rest)
     return [u for u in out if u]
 
