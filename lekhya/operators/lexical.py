@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lekhya.functions import text as tx
 
 K1, B = 1.5, 0.75
+#: Queries or texts of a block.
+BLOCK = 1024
 #: Nepali and English function words left out of queries.
 STOP_WORDS = tuple("र वा को का की के मा ले लाई छ हो पनि भने यो त्यो अनि तथा the of and or a an in is to for".split())
 
@@ -31,18 +38,61 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def scores(asked: DataFrame, texts: DataFrame, qkey: str, key: str, text: str) -> DataFrame:
-    """(qkey, key, score) of every pair with a common term, rounded to six digits.
-
-    Postings and lengths come from one pass each; corpus statistics are one row, terms join postings by hash.
-    """
+def weighted(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(term, key, weight): each posting with its BM25 weight, so that a score is a sum of weights. Corpus statistics are one row."""
     posted = postings(texts, key, text)
     sized = lengths(texts, key, text)
     stats = sized.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    hit = asked.join(posted, "term").join(df, "term").join(sized, key).join(F.broadcast(stats))
     part = idf(F.col("n_docs"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hit.groupBy(qkey, key).agg(F.round(F.sum(part), 6).alias("score"))
+    return posted.join(df, "term").join(sized, key).join(F.broadcast(stats)).select("term", key, part.alias("weight"))
+
+
+def pair_scores(pairs: DataFrame, asked: DataFrame, weights: DataFrame, qkey: str, key: str) -> DataFrame:
+    """(qkey, key, score) of given pairs, 0 without a common term, rounded to six digits."""
+    part = pairs.join(asked, qkey).join(weights, [key, "term"]).groupBy(qkey, key).agg(F.round(F.sum("weight"), 6).alias("score"))
+    return pairs.join(part, [qkey, key], "left").select(qkey, key, F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def best(asked: DataFrame, weights: DataFrame, qkey: str, key: str, k: int, block: int = BLOCK) -> DataFrame:
+    """The k best of each query by score, ties by key, with ``rank`` from 1; only pairs with a common term.
+
+    Blocks of queries meet blocks of texts. A meeting adds the weights of a block's postings query by query and keeps
+    k a query, so frequent terms cost additions in memory, and what is shuffled is k rows per query and block.
+    """
+    n_texts, n_queries = (d.select(c).distinct().count() for d, c in ((weights, key), (asked, qkey)))
+    salt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(max(1, -(-n // block))))
+    texts = weights.groupBy(salt(key, n_texts).alias("b")).agg(F.collect_list(key).alias("keys"), F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights")).drop("b")  # block texts each
+    queries = asked.groupBy(qkey).agg(F.collect_list("term").alias("t")).groupBy(salt(qkey, n_queries).alias("b")).agg(F.collect_list(F.struct(F.col(qkey).alias("id"), "t")).alias("q")).select("q")
+    kinds = asked.schema[qkey].dataType, weights.schema[key].dataType
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys, place = np.unique(np.asarray(batch.column("keys")[i].values), return_inverse=True)
+                terms = batch.column("terms")[i].values.dictionary_encode()
+                order = np.argsort(codes := np.asarray(terms.indices), kind="stable")
+                ends = np.searchsorted(codes[order], np.arange(len(terms.dictionary) + 1))
+                place, weight = place[order], np.asarray(batch.column("weights")[i].values)[order]
+                at = {t: (ends[j], ends[j + 1]) for j, t in enumerate(terms.dictionary.to_pylist())}
+                ids, found, scored = [], [], []
+                for q in batch.column("q")[i].as_py():
+                    total = np.zeros(len(keys))
+                    for t in q["t"]:
+                        if t in at:
+                            low, high = at[t]
+                            total[place[low:high]] += weight[low:high]  # a text holds a term once
+                    hit = np.flatnonzero(total)
+                    s = np.round(total[hit], 6)
+                    kept = np.lexsort((keys[hit], -s))[:k]
+                    ids += [q["id"]] * len(kept)
+                    found.append(hit[kept])
+                    scored.append(s[kept])
+                if ids:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column("q").type.value_type.field("id").type), pa.array(keys[np.concatenate(found)], batch.column("keys").type.value_type), pa.array(np.concatenate(scored))], names=[qkey, key, "score"])
+
+    schema = T.StructType([T.StructField(qkey, kinds[0]), T.StructField(key, kinds[1]), T.StructField("score", T.DoubleType())])
+    return top(queries.crossJoin(texts).mapInArrow(meet, schema), qkey, key, k)  # of blocks
 
 
 def top(scored: DataFrame, qkey: str, key: str, k: int, score: str = "score") -> DataFrame:

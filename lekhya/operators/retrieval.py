@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lekhya.functions import text as tx
 from lekhya.operators import dense, lexical, routing
+from lekhya.plans import cut
 
 K, FLAT = 5, 1e-9
 
@@ -71,15 +72,18 @@ def search(questions: DataFrame, chunks: DataFrame, mode: str, k: int = K) -> Da
     wide = (F.col("diversify") & (lit_mode == "routed_hybrid")) | F.col("must").isNotNull()
     plan = routed.withColumn("depth", search_depth(k, n, wide)).select("id", "kind", "numbers", "must", "depth", "sources", (F.col("diversify") & (lit_mode == "routed_hybrid")).alias("diversify"))
     widest = max(1, min(12 * k, n))
-    bm = lexical.scores(lexical.query_terms(asked, "id", "question"), chunks, "id", "chunk_id", "text").withColumnRenamed("score", "bm25")
+    terms = lexical.query_terms(asked, "id", "question")
+    weights = lexical.weighted(chunks.withColumn("chunk_id", F.col("chunk_id").cast("long")), "chunk_id", "text")
     ids = asked.select("id", F.xxhash64("id").alias("qid"))
     vectors = chunks.select(F.col("chunk_id").cast("long").alias("vec"), dense.hashed_vector(F.col("text")).alias("v"))
     asked_vectors = asked.select(F.xxhash64("id").alias("vec"), dense.hashed_vector(F.col("question")).alias("v"))
     near = dense.top_k(asked_vectors, vectors, "vec", "v", widest).join(ids, F.col("query_id") == F.col("qid")).select("id", F.col("vec").alias("chunk_id"), F.col("score").alias("cosine"), F.col("rank").alias("r"))
     near = near.join(plan.select("id", "depth"), "id").filter("r <= depth").select("id", "chunk_id", "cosine")
-    words = lexical.top(bm, "id", "chunk_id", widest, "bm25").join(plan.select("id", "depth"), "id").filter("rank <= depth").select("id", F.col("chunk_id").cast("long").alias("chunk_id"))
+    words = lexical.best(terms, weights, "id", "chunk_id", widest).join(plan.select("id", "depth"), "id").filter("rank <= depth").select("id", "chunk_id")
     pool = near.select("id", "chunk_id") if mode == "faiss_only" else near.select("id", "chunk_id").unionByName(words).distinct()
-    scored = pool.join(near, ["id", "chunk_id"], "left").join(bm.withColumn("chunk_id", F.col("chunk_id").cast("long")), ["id", "chunk_id"], "left")
+    pool = cut(pool)
+    bm = lexical.pair_scores(pool, terms, weights, "id", "chunk_id").withColumnRenamed("score", "bm25")
+    scored = pool.join(near, ["id", "chunk_id"], "left").join(bm, ["id", "chunk_id"], "left")
     semantic = F.col("cosine") if mode in ("faiss_only", "bm25_only") else F.when(F.col("cosine").isNotNull(), minmax(F.col("cosine"), ["id"]))
     scaled = scored.withColumn("sem", semantic).withColumn("kw", minmax(F.coalesce("bm25", F.lit(0.0)), ["id"]))
     labels = F.when(F.size("dafa_list") > 0, F.col("dafa_list")).otherwise(F.array("dafa"))

@@ -43,16 +43,14 @@ def stopword_filtered_terms(t):
 
 @query(f"WITH {BM25} SELECT * FROM (SELECT id, chunk_id, score, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM bm) WHERE rank <= 5")
 def bm25_topk(t):
-    scored = lexical.scores(lexical.query_terms(items(t), "id", "question"), t("chunks"), "id", "chunk_id", "text")
-    return lexical.top(scored, "id", "chunk_id", 5)
+    return lexical.best(lexical.query_terms(items(t), "id", "question"), lexical.weighted(t("chunks"), "chunk_id", "text"), "id", "chunk_id", 5)
 
 
 @query(f"WITH {BM25} SELECT r.question_id AS id, r.chunk_id, coalesce(bm.score, 0.0) AS score FROM (SELECT DISTINCT question_id, chunk_id FROM search_results) r LEFT JOIN bm ON bm.id = r.question_id AND bm.chunk_id = r.chunk_id")
 def bm25_point_score(t):
     """The BM25 score of every retrieved pair, 0 without a common term."""
     pairs = t("search_results").select(F.col("question_id").alias("id"), "chunk_id").distinct()
-    scored = lexical.scores(lexical.query_terms(items(t), "id", "question"), t("chunks"), "id", "chunk_id", "text")
-    return pairs.join(scored, ["id", "chunk_id"], "left").select("id", "chunk_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    return lexical.pair_scores(pairs, lexical.query_terms(items(t), "id", "question"), lexical.weighted(t("chunks"), "chunk_id", "text"), "id", "chunk_id")
 
 
 _DOT = "list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
@@ -291,5 +289,5 @@ WITH {BM25}, top AS (SELECT * FROM (SELECT id, chunk_id, score, row_number() OVE
 SELECT id, CAST(count(*) AS BIGINT) AS n_candidates, round(max(score), 6) AS best FROM top GROUP BY id""")
 def bm25_candidates(t):
     """How many of the at most 60 keyword candidates each question has, and the best score."""
-    scored = lexical.scores(lexical.query_terms(items(t), "id", "question"), t("chunks"), "id", "chunk_id", "text")
-    return lexical.top(scored, "id", "chunk_id", 60).groupBy("id").agg(F.count(F.lit(1)).alias("n_candidates"), F.round(F.max("score"), 6).alias("best"))
+    found = lexical.best(lexical.query_terms(items(t), "id", "question"), lexical.weighted(t("chunks"), "chunk_id", "text"), "id", "chunk_id", 60)
+    return found.groupBy("id").agg(F.count(F.lit(1)).alias("n_candidates"), F.round(F.max("score"), 6).alias("best"))

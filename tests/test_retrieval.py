@@ -28,7 +28,7 @@ def test_bm25_prefers_rare_terms(spark):
     texts = spark.createDataFrame([(1, "क ख"), (2, "क ग"), (3, "क क"), (4, None)], "chunk_id long, text string")
     asked = lexical.query_terms(spark.createDataFrame([("q", "ग क र")], "id string, question string"), "id", "question")
     assert {r.term for r in asked.collect()} == {"ग", "क"}
-    got = lexical.top(lexical.scores(asked, texts, "id", "chunk_id", "text"), "id", "chunk_id", 5).collect()
+    got = lexical.best(asked, lexical.weighted(texts, "chunk_id", "text"), "id", "chunk_id", 5).collect()
     assert [r.chunk_id for r in sorted(got, key=lambda r: r["rank"])][0] == 2 and len(got) == 3
 
 
