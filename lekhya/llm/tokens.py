@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,6 +25,23 @@ def _processor(path: str):
     return _loaded[path]
 
 
+#: Characters of the texts whose token lists are in memory at once; a longer text is alone.
+HELD_CHARS = 1 << 17
+
+
+def _held(texts: Iterable[str | None]) -> Iterator[list[str]]:
+    part, size = [], 0
+    for t in texts:
+        t = t or ""
+        if part and size + len(t) > HELD_CHARS:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
+
+
 def with_tokens(rows: DataFrame, text: str, folder: str = FOLDER, model: str = MODEL, name: str = "tokens") -> DataFrame:
     """``rows`` with the number of tokens of ``text`` in ``name`` (bigint): 0 for null and empty texts."""
     path = os.path.join(folder, model)
@@ -33,6 +50,6 @@ def with_tokens(rows: DataFrame, text: str, folder: str = FOLDER, model: str = M
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         processor = _processor(path)
         for texts in batches:
-            yield pd.Series([len(ids) for ids in processor.encode([t or "" for t in texts], num_threads=1)], dtype="int64")
+            yield pd.Series([len(ids) for held in _held(texts) for ids in processor.encode(held, num_threads=1)], dtype="int64")
 
     return rows.withColumn(name, counted(F.col(text)))
