@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lekhya.functions import text as tx
@@ -25,9 +24,15 @@ pq AS (SELECT b.id, b.split, CASE WHEN nt.id IS NOT NULL THEN (coalesce(first =
   FROM {BASE} b LEFT JOIN nt USING (id) LEFT JOIN cov USING (id) LEFT JOIN ret USING (id))"""
 
 
+def top_five(t):
+    """One result of each question and rank up to five, the first loaded."""
+    rows = t("search_results").filter("rank <= 5").select("question_id", "rank", "search_id", "chunk_id", "dafa", "metadata")
+    return rows.groupBy("question_id", "rank").agg(F.min_by(F.struct("chunk_id", "dafa", "metadata"), "search_id").alias("r")).select("question_id", "rank", "r.*")
+
+
 def questions_rated(t):
     items = t("eval_items").select("id", metrics.split_label(F.col("split")).alias("split")).distinct()
-    listed = t("search_results").filter("rank <= 5").withColumn("__n", F.row_number().over(Window.partitionBy("question_id", "rank").orderBy("search_id"))).filter("__n = 1")
+    listed = top_five(t)
     chunks = t("chunks").select("chunk_id", F.col("source").alias("chunk_source"), "dafa_list")
     labels = F.when(F.size("dafa_list") > 0, F.col("dafa_list")).otherwise(F.array("dafa"))
     each = listed.select("question_id", "rank", "chunk_id", "dafa", F.col("metadata.source").alias("own")).join(chunks, "chunk_id", "left")
@@ -84,7 +89,7 @@ def required_source(t):
 WITH {PER_QUESTION}, r AS {RETRIEVED} SELECT m.id, array_to_string(list_sort(list(DISTINCT w.source || ' ' || w.number)), '|') AS covered FROM r m JOIN wanted w ON m.id = w.id AND m.number = w.number AND m.source = w.source GROUP BY m.id""")
 def covered_targets(t):
     """The qualified targets that some result of the question covers."""
-    listed = t("search_results").filter("rank <= 5").withColumn("__n", F.row_number().over(Window.partitionBy("question_id", "rank").orderBy("search_id"))).filter("__n = 1")
+    listed = top_five(t)
     chunks = t("chunks").select("chunk_id", F.col("source").alias("chunk_source"), "dafa_list")
     labels = F.when(F.size("dafa_list") > 0, F.col("dafa_list")).otherwise(F.array("dafa"))
     have = listed.select(F.col("question_id").alias("id"), "chunk_id", "dafa", F.col("metadata.source").alias("own")).join(chunks, "chunk_id", "left").select("id", F.coalesce("own", "chunk_source").alias("source"), F.explode(labels).alias("d"))

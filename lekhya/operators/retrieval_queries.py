@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lekhya.functions import text as tx
@@ -75,9 +74,9 @@ _FIRST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id,
 
 
 def first_loaded(t):
-    """search_results without reloaded rows: the first of each question and chunk."""
-    w = Window.partitionBy("question_id", "chunk_id").orderBy("search_id")
-    return t("search_results").withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    """search_results without reloaded rows: the first of each question and chunk, picked by an aggregate that combines in each task."""
+    rows = t("search_results").withColumn("source", F.col("metadata.source")).drop("text", "dafa")
+    return rows.groupBy("question_id", "chunk_id").agg(F.min_by(F.struct(*(c for c in rows.columns if c not in ("question_id", "chunk_id"))), "search_id").alias("r")).select("question_id", "chunk_id", "r.*")
 
 
 _TYPE = "CASE WHEN regexp_matches(question, 'दफा\\s*[०-९0-9]+|(?i:section)\\s*[०-९0-9]+') THEN 'section_lookup' WHEN regexp_matches(question, 'परिभाषा|भनेको के|के हो|अर्थ के|(?i:what is)|(?i:define)') THEN 'definition' ELSE 'general' END"

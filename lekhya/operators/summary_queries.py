@@ -14,7 +14,7 @@ from lekhya.operators import lexical
 from lekhya.operators.text_queries import number, spaced, terms
 
 FACTS = "(SELECT DISTINCT id, coalesce(nullif(split, ''), 'unassigned') AS split, coalesce(category, 'unknown') AS category, coalesce(difficulty, 'unknown') AS difficulty, coalesce(legal_domain, 'unknown') AS domain, answerability FROM eval_items)"
-LATEST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id, export_source ORDER BY loaded_at DESC, result_id DESC) AS n FROM {}) WHERE n = 1)"
+LATEST = "(SELECT question_id, export_source, result_id, score, generated_answer FROM (SELECT *, row_number() OVER (PARTITION BY question_id, export_source ORDER BY loaded_at DESC, result_id DESC) AS n FROM {}) WHERE n = 1)"
 
 
 def facts(t):
@@ -24,9 +24,9 @@ def facts(t):
 
 
 def latest(t, name):
-    """Judgements without reloads: the last loaded of each question and export."""
-    w = Window.partitionBy("question_id", "export_source").orderBy(F.desc("loaded_at"), F.desc("result_id"))
-    return t(name).withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    """Judgements without reloads: the last loaded of each question and export, picked by an aggregate that combines in each task."""
+    rows = t(name).select("question_id", "export_source", "result_id", "score", "loaded_at", "generated_answer")
+    return rows.groupBy("question_id", "export_source").agg(F.max_by(F.struct("result_id", "score", "generated_answer"), F.struct("loaded_at", "result_id")).alias("r")).select("question_id", "export_source", "r.*")
 
 
 def judged(t, name):

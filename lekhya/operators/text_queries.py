@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lekhya.functions import text as tx
 from lekhya.operators.registry import query
+from lekhya.plans.carry import looked_back
 
 WS = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
@@ -65,9 +65,9 @@ SELECT chunk_id, tail AS raw_tail, CASE WHEN cut IS NULL THEN tail ELSE regexp_r
       SELECT chunk_id, {_TAIL} AS tail FROM (SELECT chunk_id, lag(text) OVER (PARTITION BY source ORDER BY chunk_id) AS prev FROM chunks) WHERE prev IS NOT NULL)))""")
 def overlap_tail(t):
     """Overlap of each chunk with the chunk before it in its source."""
-    previous = F.lag("text").over(Window.partitionBy("source").orderBy("chunk_id"))
+    before = looked_back(t("chunks").select("chunk_id", "source", "text"), "source", "chunk_id", previous={"prev": "text"})
     raw = F.when(F.length("prev") > 150, F.right(F.col("prev"), F.lit(150))).otherwise(F.col("prev"))
-    return t("chunks").select("chunk_id", previous.alias("prev")).filter("prev is not null").select("chunk_id", raw.alias("raw_tail"), tx.overlap_tail(F.col("prev")).alias("overlap"))
+    return before.filter("prev is not null").select("chunk_id", raw.alias("raw_tail"), tx.overlap_tail(F.col("prev")).alias("overlap"))
 
 
 @query(r"""
@@ -90,8 +90,7 @@ def header_numbers(t):
 SELECT chunk_id, last_value(bhag IGNORE NULLS) OVER w AS bhag, last_value(parichhed IGNORE NULLS) OVER w AS parichhed FROM chunks
 WINDOW w AS (PARTITION BY source ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def header_carry_forward(t):
-    w = Window.partitionBy("source").orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t("chunks").select("chunk_id", F.last("bhag", ignorenulls=True).over(w).alias("bhag"), F.last("parichhed", ignorenulls=True).over(w).alias("parichhed"))
+    return looked_back(t("chunks").select("chunk_id", "source", "bhag", "parichhed"), "source", "chunk_id", known={"bhag": "bhag", "parichhed": "parichhed"}).select("chunk_id", "bhag", "parichhed")
 
 
 @query("""
