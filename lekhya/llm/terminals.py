@@ -38,7 +38,7 @@ HELD_TOKENS = 200_000
 def _counted(tokens: Counter[str]) -> pa.RecordBatch:
     counts: dict[str, list[int]] = {}
     for token, n in tokens.items():
-        if word := token.strip(_SIGNS):
+        if "..." not in token and (word := token.strip(_SIGNS)):
             held = counts.setdefault(word, [0, 0])
             held[0] += n
             held[1] += n * (token.rstrip("\"”’)}]*_`")[-1:] in _MARKS)
@@ -63,15 +63,15 @@ def word_ends(texts: DataFrame, text: str) -> DataFrame:
     """For each word of all ``texts``: how often it stands (``n``) and how often right before a sentence-final mark (``n_final``).
 
     Counted in each task before one shuffle of (word, n, n_final). The last word of a text counts only when a mark
-    ends it, so a cut text doesn't teach its own stump.
+    ends it, and one before an ellipsis never, so a cut text doesn't teach its own stump.
     """
     counted = texts.select(text).mapInArrow(_count_words, WORD_SCHEMA)
     return counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_final").alias("n_final"))
 
 
 def surety(n: Column, n_final: Column) -> Column:
-    """Share of a word's uses that end a sentence, 0 for a word never seen elsewhere, such as a stump."""
-    return F.when(F.coalesce(n, F.lit(0)) > 0, F.least(n_final / n, F.lit(1.0))).otherwise(F.lit(0.0))
+    """Share of a word's uses that end a sentence, doubted by two uses that don't; 0 for a word never seen elsewhere, such as a stump."""
+    return F.coalesce(n_final / (n + 2), F.lit(0.0))
 
 
 def judged(ends: DataFrame, words: DataFrame, baseline: list[str]) -> DataFrame:
