@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lekhya.operators import chunking_queries, judging_queries, lifecycle_queries, metric_queries, retrieval_queries, statistics_queries, summary_queries, text_queries  # noqa: F401
+from lekhya.operators import chunking_queries, judging_queries, lifecycle_queries, metric_queries, retrieval_queries, statistics_queries, streaming_queries, summary_queries, text_queries  # noqa: F401
 from lekhya.operators.registry import QUERIES, SQL
 
 
