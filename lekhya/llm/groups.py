@@ -27,45 +27,40 @@ def stars(ties: DataFrame, member: str, key: str) -> DataFrame:
     return pairs.join(least, "__key").filter("u <> v").select("u", "v").distinct()
 
 
-def jumped(hooks: DataFrame) -> DataFrame:
-    """Hooks (r, p), p smaller than r, with every p replaced by the end of its chain: pointer jumping, doubling the step each round."""
-    while True:
-        nexts = hooks.select(F.col("r").alias("__r"), F.col("p").alias("__p"))
-        moved = hooks.join(nexts, F.col("p") == F.col("__r"), "left").select("r", F.coalesce("__p", "p").alias("p"), F.col("__p").isNotNull().alias("__moved"))
-        moved = cut(moved)
-        if not moved.agg(F.count_if("__moved").alias("n")).first().n:
-            return moved.select("r", "p")
-        hooks = moved.select("r", "p")
-
-
-def merged_roots(edges: DataFrame) -> DataFrame:
-    """(r, p): each vertex of ``edges`` (u, v) that isn't the smallest of its component, with the smallest.
-
-    Each round every root with a smaller neighbour hooks onto the smallest one, hooks are flattened, and the edges are
-    contracted to those between different roots, until none is left; the edges at least halve about every round.
+def moved(hooks: DataFrame) -> DataFrame:
+    """Hooks (r, p), p smaller than r, led four steps on: pointer jumping, twice."""
+    for _ in range(2):
+        nexts = hooks.select(F.col("r").alias("__r"), F.col("p").alias("__p")).hint("merge")
+        hooks = hooks.join(nexts, F.col("p") == F.col("__r"), "left").select("r", F.coalesce("__p", "p").alias("p"))
+    return hooks
+
+
+def moves(edges: DataFrame) -> list[DataFrame]:
+    """Rounds of moves (r, p) that, one after the other, lead each vertex of ``edges`` (u, v) to the smallest of its component.
+
+    Each round every vertex with a smaller neighbour hooks onto the smallest one, pointer jumping leads the hooks on,
+    and the edges are contracted to the ends of the moves, until none is left. A chain longer than the jumps stays
+    connected, as its edges are contracted like all others. The joins are sort-merge joins at every size, so that
+    dozens of small broadcasts don't pile up in the driver.
     """
-    edges = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    roots = None
+    straight = lambda e: cut(e.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges, rounds = straight(edges), []
     while not edges.isEmpty():
-        hooks = jumped(edges.groupBy(F.col("u").alias("r")).agg(F.min("v").alias("p")))
-        if roots is None:
-            roots = hooks
-        else:
-            later = hooks.select(F.col("r").alias("__r"), F.col("p").alias("__p"))
-            followed = roots.join(later, F.col("p") == F.col("__r"), "left").select("r", F.coalesce("__p", "p").alias("p"))
-            roots = cut(followed.unionByName(hooks.join(roots.select("r"), "r", "left_anti")))
-        ends = hooks.select(F.col("r").alias("__r"), F.col("p").alias("__p"))
-        for side in ("u", "v"):
-            other = "v" if side == "u" else "u"
+        rounds.append(cut(moved(edges.groupBy(F.col("u").alias("r")).agg(F.min("v").alias("p")))))
+        ends = rounds[-1].select(F.col("r").alias("__r"), F.col("p").alias("__p")).hint("merge")
+        for side, other in (("u", "v"), ("v", "u")):
             edges = edges.join(ends, F.col(side) == F.col("__r"), "left").select(F.coalesce("__p", side).alias(side), other)
-        edges = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    return roots if roots is not None else edges.select(F.col("u").alias("r"), F.col("v").alias("p"))
+        edges = straight(edges)
+    return rounds
 
 
 def components(ids: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, group_id) of every id: group_id is the smallest id its ties reach. Ids without ties are their own group; ends of edges that aren't ids are kept out of the result but pass ties on."""
-    roots = merged_roots(edges)
-    return ids.select("id").distinct().join(roots.select(F.col("r").alias("id"), "p"), "id", "left").select("id", F.coalesce("p", "id").alias("group_id"))
+    found = ids.select("id").distinct().withColumn("group_id", F.col("id"))
+    for step in moves(edges):
+        to = step.select(F.col("r").alias("__r"), F.col("p").alias("__p")).hint("merge")
+        found = found.join(to, F.col("group_id") == F.col("__r"), "left").select("id", F.coalesce("__p", "group_id").alias("group_id"))
+    return found
 
 
 def allotment(sizes: list[tuple[int, int]], have: dict[str, int], shares: dict[str, float]) -> list[tuple[int, str, int, int]]:

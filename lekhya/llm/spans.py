@@ -26,7 +26,7 @@ from lekhya.sources import table
 ANCHOR = 50
 #: Segments of a shard: with 350 characters each about 1.4 million characters, some 60 MB while its index is built.
 SHARD = 4096
-#: An anchor in more different texts than this goes the exact way for hot anchors instead of into one shard.
+#: An anchor that stands at more places than this, in different texts, goes the exact way for hot anchors instead of into one shard.
 HOT = 32
 #: Occurrences extended in one go.
 HITS = 1 << 21
