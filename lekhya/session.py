@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -22,4 +26,20 @@ def session(master: str | None = None, app: str = "lekhya", **conf: str) -> Spar
         builder = builder.master(master)
     for key, value in (DEFAULTS | {k.replace("_", "."): str(v) for k, v in conf.items()}).items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per context, so that they find it wherever the driver was started."""
+    context = spark.sparkContext
+    if getattr(context, "_lekhya_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="lekhya-package-")) / "lekhya.zip"  # on the driver, which serves it to the executors
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._lekhya_shipped = True
