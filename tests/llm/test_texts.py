@@ -82,6 +82,22 @@ def test_canonical_forms(spark):
     assert can.consistent(df.limit(0), ["id"], "t").count() == 0
 
 
+def test_stray_bars_behind_latin_words_and_digits(spark):
+    words = ["Copy", "Vañor", "Réseau", "(Code 407)"]
+    texts = [f"PDF {w}।" for w in words] * 40 + [f"PDF {w}|" for w in words]
+    got = can.consistent(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), ["id"], "t").filter("is_changed").collect()
+    assert {r.id: r.canonical_text for r in got} == {160 + i: texts[i] for i in range(4)}
+
+
+def test_no_skipped_text_changes():
+    scores = can.Scores({"\x02\x02" + x: 10**6 for group in can.LOOK_ALIKES for x in group})  # every rewriting is tempting
+    around = ["{}", "a{}", "{}a", "क{}", "{}क", "e{}ñ", "अ{}", "{}े"]
+    texts = [a.format(c) for c in map(chr, range(0x30000)) if not 0xD800 <= ord(c) < 0xE000 for a in around[: 8 if ord(c) < 0x3000 else 1]]
+    assert not [t for t in texts if not can.SUSPICIOUS.search(t) and can.canonical(t, scores, {}) != t]
+    ascii_signs = [chr(c) for c in range(0x20, 0x7F)] + list("\t\n\r")
+    assert not [t for t in (x + y for x in ascii_signs for y in ascii_signs) if not can.SUSPICIOUS.search(t) and can.canonical(t, scores, {}) != t]
+
+
 def test_disguised_texts_come_back():
     random.seed(1)
     counts = can.Counter()
