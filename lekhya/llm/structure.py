@@ -19,6 +19,8 @@ _ELLIPSIS = re.compile(r"(?:…|\.\.\.+)[\s\"”’}\])]*\Z")
 _DIGITS = "0-9०-९"
 _CITATION = re.compile(r"[(\[（][^()\[\]（）]{0,80}[)\]）]\Z")
 _SCORE = re.compile(rf"(?:\w[\w ]{{0,20}}|[ऀ-ॿ]+)\s*[:：=]\s*[{_DIGITS}]+(?:[.][{_DIGITS}]+)?(?:\s*/\s*[{_DIGITS}]+)?%?\Z")
+#: Tags that need no closing one.
+_UNPAIRED = frozenset("<area <base <br <col <dd <dt <hr <img <input <li <link <meta <option <p <source <td <th <tr <wbr".split())
 _CLOSERS = "\"”’»}])`*_"
 _INVISIBLE_END = "​‌‍⁠﻿"
 
@@ -33,7 +35,7 @@ class End(NamedTuple):
 
 
 def open_stack(text: str) -> list[tuple[str, int]]:
-    """Signs left open at the end, with their places. Straight quotes and markup tags toggle or nest; an unmatched closing sign is ignored."""
+    """Signs left open at the end, with their places. Straight quotes and markup tags toggle or nest; an unmatched closing sign is ignored, as is a straight quote right behind a letter or digit (inches) with none open, and a tag that needs no closing one."""
     stack: list[tuple[str, int]] = []
     for m in _STRUCTURAL.finditer(text):
         sign = m[0]
@@ -48,10 +50,12 @@ def open_stack(text: str) -> list[tuple[str, int]]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == sign), -1)
             if depth >= 0:
                 del stack[depth:]
-            else:
+            elif not text[max(0, m.start() - 1) : m.start()].isalnum():
                 stack.append((sign, m.start()))
         elif sign[0] == "<":
             tag = sign.strip("</>").lower()
+            if f"<{tag}" in _UNPAIRED:
+                continue
             if sign[1] != "/":
                 stack.append((f"<{tag}", m.start()))
             elif any(s == f"<{tag}" for s, _ in stack):
@@ -62,7 +66,10 @@ def open_stack(text: str) -> list[tuple[str, int]]:
 
 
 def end_of(text: str | None) -> End:
-    """The state in which ``text`` ends; null and blank texts are ``empty``."""
+    """The state in which ``text`` ends; null and blank texts are ``empty``.
+
+    A round or square bracket opened behind the last final mark leaves it ``open``, as does any sign still open, wherever opened, at an end without final mark.
+    """
     body = (text or "").rstrip().rstrip(_INVISIBLE_END).rstrip()
     if not body:
         return End("empty", "", "", "")
@@ -77,6 +84,8 @@ def end_of(text: str | None) -> End:
         return End("open", signs, *last_words(body))
     if body[-1] in FINAL_MARKS:
         return End("marked", signs, *last_words(body))
+    if any(s not in "([（" for s, _ in stack):
+        return End("open", signs, *last_words(body))
     if _CITATION.search(body) or _SCORE.search(body) or body[-1] in _CLOSERS:
         return End("closed", signs, *last_words(body))
     return End("bare", signs, *last_words(body))

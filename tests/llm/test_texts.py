@@ -22,6 +22,18 @@ def test_automaton_states():
     assert end_of("x " * 200_000 + "(y").state == "open"
 
 
+def test_open_quotes_braces_and_tags_decide():
+    cut_off = ['He said "', 'It ends. He said "the plain tail', '{"reasoning": "It ends. The plain tail', '“It ends. A plain tail', "It ends. <b>A plain tail", '{"score": 0.4, "reasoning": "It ends', "It says «a plain tail", "`code tail", '{"score": 0.8']
+    assert [t for t in cut_off if end_of(t).state != "open"] == []
+    whole = {'He said "so"': "closed", 'A 12" pipe': "bare", "First<br>second line": "bare", "<p>A plain tail": "bare", '“It ends here.': "marked", '"a" <b>c</b> {d} tail': "bare", "a} ” tail": "bare"}
+    assert {t: end_of(t).state for t in whole} == whole
+
+
+def test_open_quote_outweighs_a_final_word(spark):
+    texts = [DONE] * 30 + ["पहिलो वाक्य सकियो। उनले “दोस्रो वाक्य पनि यहाँ सकिन्छ"]
+    assert [r.id for r in truncation.ends(rows(spark, texts), "body", ["id"], ["source"]).filter("is_cut").collect()] == [30]
+
+
 def rows(spark, texts, **more):
     return spark.createDataFrame([(i, "s", t, 0) for i, t in enumerate(texts)], "id long, source string, body string, state int")
 
