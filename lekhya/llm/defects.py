@@ -22,7 +22,10 @@ from lekhya.sources import table
 
 # Placeholders and notices that say nothing, as folded text.
 PLACEHOLDERS = {"n/a", "na", "n.a", "null", "none", "nil", "nan", "undefined", "empty", "tbd", "todo", "[]", "{}", "()", "उत्तर", "जवाफ", "answer", "response", "output", "no answer", "no response", "no content", "उत्तर छैन", "जवाफ छैन", "खाली"}
-ERROR_NOTICE = re.compile(r"^\W*(?:fatal |internal |server |api |http )*(?:error|exception|traceback|failed|failure|timeout|timed out|त्रुटि)\b.{0,200}$", re.I | re.S)
+ERROR_NOTICE = re.compile(r"^\W*(?:fatal |internal |server |api |http )*(?:error|exception|traceback|failed|failure|timeout|timed out|त्रुटि)\b", re.I)
+# Words of machines and signs of code, by which the clauses of a long notice are told from those of an answer.
+MACHINE_TALK = re.compile(r"\b(?:errno|exception|traceback|timeout|timed out|upstream|server|gateway|connection|api|https?|retry|retries|try again|rate limit|quota|unavailable|stack|null)\b|सर्भर|(?:फेरि|पुनः) प्रयास", re.I)
+MACHINE_WORD = re.compile(r"[_/\\{}<>=@#]|\w[(:]\w|[a-z][.][a-z]|\(\)|^[\"']?\d+[\"',:)]*$")
 
 # Clauses by which a whole answer declines, by language.
 DECLINES = [
@@ -49,6 +52,7 @@ NEPALI = frozenset("छ छन् हुन्छ हुनेछ हुँद
 _DECLINE = re.compile("|".join(DECLINES), re.I)
 _COURTESY = re.compile("|".join(COURTESIES), re.I)
 _CLAUSES = re.compile(r"[।॥?!;\n]+|[.](?=\s|$)")
+_TURN = re.compile(r"(?:,\s*|\s)(?:but|however|nevertheless|nonetheless|still|yet|तर|तैपनि|तथापि|लेकिन|परन्तु|किन्तु|फिर भी)[\s,]+")
 _GAPS = re.compile(r"\s+")
 
 #: An answer only gives back the question when its residual is at most this share of its own compressed size ...
@@ -57,6 +61,8 @@ COPY_RESIDUAL = 0.45
 COPY_LENGTH = 0.35
 #: Clauses of at least so many words that neither decline nor are courtesies are an answer.
 ANSWER_WORDS = 4
+#: What starts as an error notice and has no more characters behind its keyword is one; a longer text is judged by its clauses.
+SHORT_NOTICE = 200
 
 
 def fold(text: str | None) -> str:
@@ -67,19 +73,34 @@ def fold(text: str | None) -> str:
 
 def is_empty(folded: str) -> bool:
     core = folded.strip(" :.-—–…'\"`*_")
-    return not any(c.isalnum() for c in core) or core in PLACEHOLDERS or bool(ERROR_NOTICE.match(folded))
+    return not any(c.isalnum() for c in core) or core in PLACEHOLDERS or is_notice(folded)
+
+
+def is_notice(folded: str) -> bool:
+    """Whether the text starts as an error notice and no clause of it says anything but machine talk, such as a trace."""
+    start = ERROR_NOTICE.match(folded)
+    if not start or len(folded) - start.end() <= SHORT_NOTICE:
+        return bool(start)
+    clauses = [c.split() for c in _CLAUSES.split(folded[start.end() :])]
+    return all(len(words) < ANSWER_WORDS or MACHINE_TALK.search(" ".join(words)) or 5 * sum(bool(MACHINE_WORD.search(w)) for w in words) >= len(words) for words in clauses)
+
+
+def says_more(part: str) -> bool:
+    return not _DECLINE.search(part) and not _COURTESY.search(part) and len(part.split()) >= ANSWER_WORDS
 
 
 def is_refusal(folded: str) -> bool:
-    """Whether the answer as a whole declines: some clause does, and no other clause says more than a courtesy."""
+    """Whether the answer as a whole declines: some clause does, and neither another clause nor what follows a "but" behind the declining phrase says more than a courtesy."""
     declined = False
     for clause in _CLAUSES.split(folded):
         clause = clause.strip(" ,:-—'\"")
         if not clause:
             continue
-        if _DECLINE.search(clause) and len(clause) <= 160:
+        if found := _DECLINE.search(clause):
+            if any(map(says_more, _TURN.split(clause[found.end() :])[1:])):
+                return False
             declined = True
-        elif not _COURTESY.search(clause) and len(clause.split()) >= ANSWER_WORDS:
+        elif says_more(clause):
             return False
     return declined
 

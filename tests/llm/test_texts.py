@@ -69,6 +69,20 @@ def test_defects(spark):
     assert defects.pair_defects(df.limit(0), "result_id", "question", "generated_answer", "ground_truth", ["state"]).count() == 0
 
 
+def test_long_refusals_and_notices():
+    ramble = "about the several kinds of ancestral property that a widow and the married daughters of a joint family hold together in the hills and in the plains of the eastern districts"
+    refusals = [f"I am unable to answer the question {ramble}.", f"As for the question {ramble}, we do not know.", f"{'पैतृक सम्पत्ति सम्बन्धी यो प्रश्नमा ' * 6}मलाई थाहा छैन।"]
+    assert [r for r in refusals if len(r) <= 160 or not defects.is_refusal(defects.fold(r))] == []
+    answers = ["I do not know the exact fee, but the farmer must register within three months.", f"I do not know {ramble}, but the farmer must register within three months.", "रकम कति हो थाहा छैन, तर किसानले तीन महिनाभित्र दर्ता गर्नुपर्छ।"]
+    assert [a for a in answers if defects.is_refusal(defects.fold(a))] == []
+    assert defects.is_refusal(defects.fold("I am unable to answer this, but you may consult a lawyer."))
+    trace = "Traceback (most recent call last):\n" + "".join(f'  File "/app/judge_{i}.py", line {i}, in call_model\n    reply = client.create(model=name, text=prompt)\n' for i in range(9)) + "ValueError: bad reply"
+    java = "Exception in thread main java.lang.IllegalStateException: closed\n" + "".join(f"\tat org.apache.spark.Task{i}.run(Task.java:{i})\n" for i in range(9))
+    assert min(len(trace), len(java)) > 300 and defects.is_empty(defects.fold(trace)) and defects.is_empty(defects.fold(java))
+    assert not defects.is_empty(defects.fold(f"Error of law is a ground of appeal. The farmer may appeal within thirty days {ramble}."))
+    assert not defects.is_empty(defects.fold(trace + ". The farmer must register the land at the office within three months."))
+
+
 def test_copy_residual_orders_texts():
     q = "In Vigohe the private creditor holds its agricultural inventory copy, whose consent is needed?"
     assert defects.copy_residual(q, q) < 0.2
