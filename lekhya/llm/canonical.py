@@ -215,13 +215,9 @@ def grams(texts: DataFrame, text: str, least: int = 1) -> DataFrame:
     return texts.select(text).mapInArrow(_count_grams, GRAM_SCHEMA).groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
-#: Most grams the model takes to the tasks: those counted most; the rest score as unseen. Bounds the broadcast at about 20 MB.
-MODEL_GRAMS = 400_000
-
-
 def model(texts: DataFrame, text: str) -> dict[str, int]:
-    """The most frequent grams of the corpus: at most MODEL_GRAMS rows whatever its size."""
-    return {r.gram: r.n for r in grams(texts, text).orderBy(F.desc("n"), "gram").limit(MODEL_GRAMS).toLocalIterator()}
+    """All grams of the corpus: bounded by its alphabet, as characters from ALPHABET_END on are one class."""
+    return {r.gram: r.n for r in grams(texts, text).toLocalIterator()}
 
 
 def _canonicaliser(counts) -> Callable:

@@ -115,6 +115,19 @@ def test_stray_bars_behind_latin_words_and_digits(spark):
     assert {r.id: r.canonical_text for r in got} == {160 + i: texts[i] for i in range(4)}
 
 
+def test_model_holds_every_gram(spark):
+    n = 250  # distinct letters, so more than 400,000 distinct grams
+    letters = [chr(0x1200 + i) for i in range(n)]
+    texts = ["".join(a + b + c for c in letters[: n // 5]) for a in letters for b in letters[: n // 5]]
+    want = can.Counter()
+    for w in texts:
+        p = "\x02\x02" + w + "\x02"
+        for i in range(2, len(p)):
+            want[p[i - 2 : i + 1]] += 1
+            want[p[i - 1 : i + 1]] += 1
+    assert len(want) > 400_000 and can.model(spark.createDataFrame([(t,) for t in texts], "t string"), "t") == want
+
+
 def test_no_skipped_text_changes():
     scores = can.Scores({"\x02\x02" + x: 10**6 for group in can.LOOK_ALIKES for x in group})  # every rewriting is tempting
     around = ["{}", "a{}", "{}a", "क{}", "{}क", "e{}ñ", "अ{}", "{}े"]
