@@ -24,6 +24,9 @@ from lekhya.sources import table
 GRAM = 3
 #: Least share of an evaluation record's grams that a training record must hold to be compared in full.
 CONTAINMENT = 0.3
+#: Evaluation texts of fewer words are also looked up by single words and character trigrams: below, changes well spread
+#: over a fifth of the words can leave less than CONTAINMENT of the grams.
+SHORT = 14
 #: Least agreement (see ``agreement``) of an overlap.
 AGREEMENT = 0.8
 
@@ -50,6 +53,48 @@ def word_grams(norm: str, n: int = GRAM) -> list[int]:
     return [h - (1 << 64) if h >> 63 else h for h in dict.fromkeys(map(xxhash.xxh3_64_intdigest, grams))]
 
 
+def _trigrams(words: Counter) -> Counter:
+    return Counter(f" {w} "[i : i + 3] for w in words.elements() for i in range(len(w)))
+
+
+def token_hashes(norm: str) -> tuple[list[int], list[int]]:
+    """64-bit hashes of the words and of the character trigrams within words, each occurrence a token of its own."""
+    words = Counter(norm.split())
+    kinds = (("w", words), ("c", _trigrams(words)))
+    digests = [[xxhash.xxh3_64_intdigest(f"{kind} {token} {nth}") for token, n in tokens.items() for nth in range(n)] for kind, tokens in kinds]
+    return tuple([h - (1 << 64) if h >> 63 else h for h in x] for x in digests)
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.LongType())))
+def tokens_by_kind(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for norms in batches:
+        yield pd.Series([token_hashes(x) for x in norms])
+
+
+def short_hits(evals: DataFrame, trains: DataFrame, least: float) -> DataFrame:
+    """Pairs (eval_rep, train_rep) that hold every one of agreement ``least`` of short evaluation texts.
+
+    Agreement s of texts of m and m' tokens takes an overlap of s (m + m') / 2, so neither is over (2 - s) / s times as
+    long and each shares r = s / (2 - s) of its tokens or more. Two such texts meet in the m - ceil(r m) + 1 tokens that are rarest
+    in one order common to all. Either kind of token is looked up alone.
+    """
+    share = least / (2 - least)
+
+    def listed(texts: DataFrame, name: str) -> DataFrame:
+        told = texts.select(F.col("rep").alias(name), F.posexplode(tokens_by_kind("norm")).alias("kind", "tokens"))
+        return told.select(name, "kind", F.size("tokens").alias("m"), F.explode("tokens").alias("token"))
+
+    def rarest(tokens: DataFrame, name: str) -> DataFrame:
+        ranked = tokens.join(frequency, "token", "left").withColumn("nth", F.row_number().over(Window.partitionBy(name, "kind").orderBy(F.coalesce("df", F.lit(0)), "token")))
+        return ranked.filter(F.col("nth") <= F.col("m") - F.ceil(F.col("m") * share - 1e-9) + 1).select(name, "m", "token")
+
+    train_tokens = listed(trains, "train_rep")
+    frequency = train_tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    one, other = rarest(listed(evals, "eval_rep"), "eval_rep"), rarest(train_tokens, "train_rep").withColumnRenamed("m", "m2")
+    fit = (F.col("m2") * share <= F.col("m") + 1e-9) & (F.col("m") * share <= F.col("m2") + 1e-9)
+    return one.join(other, "token").filter(fit).select("eval_rep", "train_rep").distinct()
+
+
 @F.pandas_udf(GRAMS_SCHEMA)
 def gram_hashes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
@@ -70,8 +115,7 @@ def agreement(a: str, b: str) -> float:
     score = _dice(x, y)
     if score >= AGREEMENT:
         return score
-    trigrams = lambda words: Counter(f" {w} "[i : i + 3] for w in words.elements() for i in range(len(w)))
-    return max(score, _dice(trigrams(x), trigrams(y)))
+    return max(score, _dice(_trigrams(x), _trigrams(y)))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -86,14 +130,14 @@ def split_class(split: Column) -> Column:
     return F.when(name == "train", "train").when(name.isin("development", "dev", "validation", "test"), "eval")
 
 
-def cross_overlaps(records: DataFrame, theta: float = CONTAINMENT, least: float = AGREEMENT) -> DataFrame:
+def cross_overlaps(records: DataFrame, theta: float = CONTAINMENT, least: float = AGREEMENT, short: int = 0) -> DataFrame:
     """Overlaps (eval_id, train_id, agreement, containment) of ``records`` (id, text, class), class ``train`` or ``eval``.
 
     A record may have several texts; the best pair of texts counts. Texts that normalise alike are compared once, by
     one representative, so a group of copies costs as much as one text. Of an evaluation text's m grams only the
     m - ceil(theta m) + 1 that are rarest in training are looked up: any text that holds a share theta of the grams
-    holds one of these, so no pair is lost and formulaic grams that a third of all rows share aren't joined. Null,
-    empty and sign-only texts, null ids and null classes overlap with nothing; repeated rows count once.
+    holds one of these, so no such pair is lost and formulaic grams that a third of all rows share aren't joined. Pairs of
+    evaluation texts under ``short`` words are also looked up by ``short_hits``, whatever their containment. Null, empty and sign-only texts, null ids and null classes overlap with nothing; repeated rows count once.
     """
     rows = records.filter(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("class").isNotNull()).select("id", "class", "text").distinct()
     told = rows.withColumn("__g", gram_hashes("text")).select("id", "class", F.col("__g.norm").alias("norm"), F.col("__g.grams").alias("grams")).filter(F.size("grams") > 0)
@@ -105,10 +149,18 @@ def cross_overlaps(records: DataFrame, theta: float = CONTAINMENT, least: float
     eval_grams = texts["eval"].select(F.col("rep").alias("eval_rep"), F.size("grams").alias("m"), F.explode("grams").alias("gram"))
     ranked = eval_grams.join(frequency, "gram", "left").withColumn("nth", F.row_number().over(Window.partitionBy("eval_rep").orderBy(F.coalesce("df", F.lit(0)), "gram")))
     looked_up = ranked.filter((F.col("nth") <= F.col("m") - F.ceil(F.col("m") * theta) + 1) & F.col("df").isNotNull()).select("eval_rep", "gram")
-    hits = looked_up.join(train_grams, "gram").select("eval_rep", "train_rep").distinct()
+    hits = looked_up.join(train_grams, "gram").select("eval_rep", "train_rep")
+    brief = texts["eval"].filter(F.size(F.split("norm", " ")) < short)
+    signs = F.length(F.replace("norm", F.lit(" ")))  # as many as character trigrams
+    longest = brief.agg(F.max(signs)).first()[0] if short else None
+    if longest:
+        reach = (2 - least) / least
+        near = texts["train"].filter((F.size(F.split("norm", " ")) <= short * reach) | (signs <= longest * reach + 1e-9))
+        hits = hits.unionByName(short_hits(brief, near, least))
+    hits = hits.distinct()
     compared = hits.join(texts["eval"].select(F.col("rep").alias("eval_rep"), F.col("norm").alias("a"), F.col("grams").alias("ga")), "eval_rep")
     compared = compared.join(texts["train"].select(F.col("rep").alias("train_rep"), F.col("norm").alias("b"), F.col("grams").alias("gb")), "train_rep")
-    contained = compared.withColumn("containment", F.size(F.array_intersect("ga", "gb")) / F.size("ga")).filter(F.col("containment") >= theta)
+    contained = compared.withColumn("containment", F.size(F.array_intersect("ga", "gb")) / F.size("ga")).filter((F.col("containment") >= theta) | (F.size(F.split("a", " ")) < short))
     agreed = cut(contained.withColumn("agreement", agreements("a", "b")).select("eval_rep", "train_rep", "containment", "agreement").filter(F.col("agreement") >= least))
     by = {c: members.filter(F.col("class") == c).select(F.col("id").alias(f"{c}_id"), F.col("rep").alias(f"{c}_rep")) for c in ("train", "eval")}
     pairs = agreed.join(by["eval"], "eval_rep").join(by["train"], "train_rep").filter("eval_id <> train_id")
@@ -123,14 +175,14 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = cross_overlaps(questions(spark, sf_dir))
+    found = cross_overlaps(questions(spark, sf_dir), short=SHORT)
     return found.select(F.least("eval_id", "train_id").alias("question_id_a"), F.greatest("eval_id", "train_id").alias("question_id_b")).distinct()
 
 
 def p2_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per evaluation split and source: items, items that training also holds, their share, pairs, and pairs that agree wholly."""
     items = table(spark, sf_dir, "eval_items").filter(split_class(F.col("split")) == "eval").select(F.col("id").alias("eval_id"), F.lower(F.regexp_replace("split", r"(?U)\s", "")).alias("split"), "source").distinct()
-    found = cross_overlaps(questions(spark, sf_dir)).groupBy("eval_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("agreement") >= 1).alias("n_exact"))
+    found = cross_overlaps(questions(spark, sf_dir), short=SHORT).groupBy("eval_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("agreement") >= 1).alias("n_exact"))
     counted = items.join(found, "eval_id", "left").groupBy("split", "source").agg(
         F.count(F.lit(1)).alias("n_items"), F.count("n_pairs").alias("n_overlapping"), F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("n_pairs"), F.coalesce(F.sum("n_exact"), F.lit(0)).alias("n_exact_pairs")
     )

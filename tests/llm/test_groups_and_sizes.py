@@ -267,3 +267,26 @@ def test_queries_run_with_their_columns(spark):
         df = query(spark, SF)
         assert df.columns == columns.get(name, df.columns)
         df.count()
+
+
+def test_short_overlaps_by_brute_force(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghiklmnoprstuvz") for _ in range(rng.randint(2, 9))) for _ in range(60)]
+    train, evals = [], []
+    for _ in range(60):
+        base = rng.sample(words, rng.randint(3, 13))
+        train.append(" ".join(base))
+        changed, spelled, moved = base[:], base[:], base[:]
+        for i in range(1, len(base), 5):
+            changed[i] = rng.choice(words)
+        for i in range(1, len(base), 3):
+            spelled[i] = spelled[i][:-1] + "x"
+        rng.shuffle(moved)
+        evals += [" ".join(x) for x in (changed, spelled, moved)]
+    evals += ["one two three four " + "x" * 400]
+    train += ["four three two one five", "three one"]
+    rows = [(f"e{i}", t, "eval") for i, t in enumerate(evals)] + [(f"t{i}", t, "train") for i, t in enumerate(train)]
+    got = {(r.eval_id, r.train_id) for r in overlaps.cross_overlaps(spark.createDataFrame(rows, "id string, text string, class string"), short=overlaps.SHORT).collect()}
+    norms = {i: overlaps.normal(t) for i, t, _ in rows}
+    want = {(e, t) for e in norms if e[0] == "e" for t in norms if t[0] == "t" and overlaps.agreement(norms[e], norms[t]) >= overlaps.AGREEMENT}
+    assert len(want) > 120 and got == want
