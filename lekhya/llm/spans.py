@@ -26,7 +26,7 @@ from lekhya.sources import table
 ANCHOR = 50
 #: Segments of a shard: with 350 characters each about 1.4 million characters, some 60 MB while its index is built.
 SHARD = 4096
-#: An anchor that stands at more places than this, in different texts, goes the exact way for hot anchors instead of into one shard.
+#: An anchor that stands at more places than this, repeats within one text included, and in different texts, goes the exact way for hot anchors instead of into one shard.
 HOT = 32
 #: Occurrences extended in one go.
 HITS = 1 << 21
@@ -284,8 +284,8 @@ class Shared:
 
     ``members``: (doc_id, rep, n_chars, copies) of the texts long enough; identical texts have one representative and
     are compared once. ``matches``: (doc_id, other_id, begin, end) between representatives, both ways. ``windows``:
-    (doc_id, window, begin), the hot rest: windows of exactly ``least`` characters around anchors in more than HOT
-    texts, of those that several texts hold; aggregated by hash in each task before the shuffle, so no task holds a
+    (doc_id, window, begin), the hot rest: windows of exactly ``least`` characters around anchors at more than HOT
+    places of different texts, of those that several texts hold; aggregated by hash in each task before the shuffle, so no task holds a
     hot group. Null and shorter texts share nothing. Ids must be unique.
     """
 
