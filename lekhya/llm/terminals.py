@@ -16,6 +16,8 @@ from lekhya.plans import cut
 
 END_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("state", "open_signs", "last_word", "before_last")])
 
+#: Parts a last word's bare ends are dealt to when they meet its verdict.
+SALTS = 16
 #: A bare end counts as finished when its word is at least this surely sentence-final.
 FINISHED = 0.5
 
@@ -80,17 +82,24 @@ def judged(ends: DataFrame, words: DataFrame, baseline: list[str]) -> DataFrame:
     broken, ellipsis and open ends are cut, marked and closed ends and empty texts aren't. A bare end is finished if
     its last word ends sentences elsewhere with surety p and the group leaves out marks at rate b: odds p/(1-p)
     times b/(1-b) against one half. A group is the ``baseline`` columns and the script of the last word; b is its
-    share of sure words among its bare ends, smoothed by one of each, so an unseen group is neutral.
+    share of sure words among its bare ends, smoothed by one of each. ``p_final`` is null but for bare ends.
     """
-    baseline = [*baseline, "script"]
-    ends = ends.withColumn("script", F.when(F.col("last_word").rlike("[\u0900-\u097f]"), "deva").otherwise("other"))
     ends = cut(ends)  # two readers; the automaton runs once
-    known = ends.join(words.select(F.col("word").alias("last_word"), "n", "n_final"), "last_word", "left").withColumn("p_final", surety(F.col("n"), F.col("n_final")))
-    bare = F.col("state") == "bare"
-    rates = known.filter(bare).groupBy(*baseline).agg(((F.count_if(F.col("p_final") >= FINISHED) + 1) / (F.count(F.lit(1)) + 2)).alias("__b"))
-    rates = rates.select(*(F.col(c).alias(f"__{c}") for c in baseline), "__b")
-    joined = known.join(rates, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in baseline], "left")
-    p, b = F.col("p_final"), F.greatest(F.least(F.coalesce(F.col("__b"), F.lit(0.5)), F.lit(0.8)), F.lit(0.1))
-    finished = (p * b) >= (1 - p) * (1 - b)
-    verdict = F.when(F.col("state").isin("broken", "ellipsis", "open"), True).when(bare, ~finished).otherwise(False)
-    return joined.withColumn("is_cut", verdict).drop("__b", *(f"__{c}" for c in baseline))
+    bare = ends.filter("state = 'bare'")
+    script = F.when(F.col("last_word").rlike("[\u0900-\u097f]"), "deva").otherwise("other")
+    # common last words are aggregated before the join and salted behind it, so no word is a hot key
+    last = bare.groupBy(*baseline, "last_word").agg(F.count(F.lit(1)).alias("__times")).withColumn("__script", script)
+    known = last.join(words.select(F.col("word").alias("last_word"), "n", "n_final"), "last_word", "left").withColumn("p_final", surety(F.col("n"), F.col("n_final")))
+    known = cut(known)
+    group = [*baseline, "__script"]
+    rates = known.groupBy(*group).agg(((F.sum(F.when(F.col("p_final") >= FINISHED, F.col("__times")).otherwise(0)) + 1) / (F.sum("__times") + 2)).alias("__rate"))
+    rates = rates.select(*(F.col(c).alias(f"__r_{c}") for c in group), "__rate")
+    rated = known.join(rates, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in group], "left")
+    p, b = F.col("p_final"), F.greatest(F.least(F.coalesce(F.col("__rate"), F.lit(0.5)), F.lit(0.8)), F.lit(0.1))
+    verdicts = rated.select(*(F.col(c).alias(f"__v_{c}") for c in (*baseline, "last_word")), "p_final", ((p * b) >= (1 - p) * (1 - b)).alias("__finished"))
+    verdicts = verdicts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = bare.withColumn("__of", F.pmod(F.xxhash64(*ends.columns), F.lit(SALTS)).cast("int"))
+    match = [F.col("last_word") == F.col("__v_last_word"), F.col("__of") == F.col("__salt"), *(F.col(c).eqNullSafe(F.col(f"__v_{c}")) for c in baseline)]
+    told = salted.join(verdicts, match, "left").select(*ends.columns, "p_final", (~F.col("__finished")).alias("is_cut"))
+    others = ends.filter("state <> 'bare'").select(*ends.columns, F.lit(None).cast("double").alias("p_final"), F.col("state").isin("broken", "ellipsis", "open").alias("is_cut"))
+    return others.unionByName(told)
