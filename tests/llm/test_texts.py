@@ -29,6 +29,24 @@ def test_open_quotes_braces_and_tags_decide():
     assert {t: end_of(t).state for t in whole} == whole
 
 
+def test_percents_and_ampersands_that_close_words_and_scores():
+    whole = {"It is correct. Score: 90%": "closed", "जवाफ सही छ। अंक: 80%": "closed", "handled by R&D": "bare", "AT&T": "bare", "a share in %": "bare", "The total is 3.": "marked", '"The total is 3."': "closed"}
+    assert {t: end_of(t).state for t in whole} == whole
+    torn = ["tail &am", "x &#12", "AT&amp;T and AT&am", "see http://a.b/c%E", "a%20b%2", "R&", "x &", "tail \\u09"]
+    assert [t for t in torn if end_of(t).state != "broken"] == []
+
+
+def test_signs_left_open_behind_a_final_mark():
+    cut_off = ['{"score": 1, "reason": "ok.', "<b>Correct.", "He said “yes and.", "It says (see section 5."]
+    assert [t for t in cut_off if end_of(t).state != "open"] == []
+    assert [t for t in ("“It ends here.", "(It ends here.", "in the ‘90s it was.", "a) It ends.") if end_of(t).state != "marked"] == []
+
+
+def test_long_citations_and_words():
+    assert end_of(f"It ends ({'see section 5 ' * 40})").state == "closed"
+    assert end_of("x " + "y" * 5000).last_word == "y" * 5000
+
+
 def test_open_quote_outweighs_a_final_word(spark):
     texts = [DONE] * 30 + ["पहिलो वाक्य सकियो। उनले “दोस्रो वाक्य पनि यहाँ सकिन्छ"]
     assert [r.id for r in truncation.ends(rows(spark, texts), "body", ["id"], ["source"]).filter("is_cut").collect()] == [30]
@@ -83,6 +101,25 @@ def test_long_refusals_and_notices():
     assert not defects.is_empty(defects.fold(trace + ". The farmer must register the land at the office within three months."))
 
 
+def test_parts_of_the_question_are_copies_at_every_length():
+    q = "In Vigohe the private creditor holds its agricultural inventory copy, whose consent is needed for the pending sale of the eastern pond?".lower()
+    assert all(defects.copy_residual(q, q[:n]) <= defects.COPY_RESIDUAL for n in (25, 35, 45, 60, 90, len(q)))
+    assert all(defects.copy_residual(q, a) > 0.6 for a in ("yes, it may.", "हो, पाइन्छ।", "the court decides within ten weeks."))
+
+
+def test_notices_are_judged_alike_at_every_length():
+    assert all(defects.is_empty(defects.fold(t)) for t in ("Error: upstream call timed out", "Error: could not generate a response", "Error: " + "upstream call timed out; " * 40))
+    assert not any(defects.is_empty(defects.fold(t)) for t in ("Error: the farmer must register the land.", "Error: " + "the farmer must register the land; " * 40))
+
+
+def test_languages():
+    told = {
+        "The farmer must register the land in the office.": "en", "Le créancier doit être informé par le tribunal dans les dix jours.": "fr", "Der Gläubiger muss von dem Gericht informiert werden.": "de", "El acreedor debe ser informado por el tribunal.": "es", "Должник не может продать дом.": "ru",
+        "债权人必须在十天内收到通知书": "zh", "किसानले कार्यालयमा तीन महिनाभित्र दर्ता गर्नुपर्छ।": "ne", "किसान को तीन महीने के भीतर कार्यालय में दर्ज करना होगा।": "hi", "हो": "", "123": "",
+    }
+    assert {t: defects.language(defects.fold(t)) for t in told} == told
+
+
 def test_copy_residual_orders_texts():
     q = "In Vigohe the private creditor holds its agricultural inventory copy, whose consent is needed?"
     assert defects.copy_residual(q, q) < 0.2
