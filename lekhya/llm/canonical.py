@@ -25,24 +25,27 @@ LOOK_ALIKES = [
     ["A", "А", "Α"], ["B", "В", "Β"], ["C", "С", "Ϲ"], ["E", "Е", "Ε"], ["H", "Н", "Η"], ["I", "І", "Ι"], ["J", "Ј"], ["K", "К", "Κ"], ["M", "М", "Μ"], ["N", "Ν"], ["O", "О", "Ο"], ["P", "Р", "Ρ"], ["S", "Ѕ"], ["T", "Т", "Τ"], ["X", "Х", "Χ"], ["Y", "Υ", "Ү"], ["Z", "Ζ"],
     ["a", "а", "α"], ["c", "с", "ϲ"], ["d", "ԁ"], ["e", "е"], ["g", "ɡ"], ["h", "һ"], ["i", "і", "ι"], ["j", "ј"], ["l", "ӏ"], ["n", "ո"], ["o", "о", "ο", "օ"], ["p", "р", "ρ"], ["q", "ԛ"], ["s", "ѕ"], ["u", "ս", "υ"], ["v", "ѵ", "ν"], ["w", "ԝ"], ["x", "х", "χ"], ["y", "у", "γ"],
     ["।", "|", "ǀ", "∣"], ["॥", "||", "।।"], ["ः", ":", "꞉"], ["०", "০", "੦", "૦", "௦", "౦", "೦", "൦"],
-    ["आ", "अा"], ["ओ", "अाे", "अो", "आे"], ["औ", "अाै", "अौ", "आै"], ["ऐ", "एे"], ["ई", "र्इ"], ["ऊ", "उू"], ["ो", "ाे"], ["ौ", "ाै"], ["ॐ", "ओम्"],
+    ["आ", "अा"], ["ओ", "अाे", "अो", "आे"], ["औ", "अाै", "अौ", "आै"], ["ऐ", "एे"], ["ई", "र्इ"], ["ऊ", "उू"], ["ो", "ाे"], ["ौ", "ाै"],
     ["१", "੧"], ["२", "੨"], ["३", "੩"], ["४", "੪"],
 ]
 
 # Signs that compatibility normalisation would rewrite although they are proper signs of their own.
 KEPT = frozenset("…№™½¼¾²³¹ªº‥℃℉µ")
+# Look-alikes that compatibility normalisation would turn into signs that look otherwise.
+LUNATE = frozenset("ϲϹ")
 # Signs that only stand in for others here; text is never rewritten to them.
-NEVER_MEANT = frozenset("ǀ∣꞉")
+NEVER_MEANT = frozenset("ǀ∣꞉") | LUNATE
+_KEPT_RUNS = regex.compile("([" + "".join(sorted(KEPT | LUNATE)) + "]+)")
 #: Sequences rewritten only towards the first sign of their class: the others aren't spellings of any script.
-_SEQUENCES = {alt: group[0] for group in LOOK_ALIKES for alt in group if len(alt) > 1 and group[0] not in ("॥", "ॐ", "ई")}
+_SEQUENCES = {alt: group[0] for group in LOOK_ALIKES for alt in group if len(alt) > 1}
 _CHARS = {alt: [x for x in group if len(x) == 1] for group in LOOK_ALIKES for alt in group if len(alt) == 1}
 
 #: Signs of which one at least is in every text that may need a change: any but printable ASCII without '|', tabs and line
 #: breaks. ``plain`` leaves texts of those alone and their tokens have no lattice, so skipping them loses nothing.
 SUSPICIOUS = regex.compile(r"[^\t\n\r\x20-\x7b\x7d\x7e]")
-ALPHABET_END = 0x2000  # n-gram counts hold characters below this; everything else counts as one class
+ALPHABET_END = 0x2000  # n-grams, counted or looked up, hold characters below this; everything else is one class
 _TOKENS = regex.compile(r"\S+")
-_BOUND = "\x02"
+_BOUND, _FAR = "\x02", "\x03"
 #: A look-alike replaces a sign only when it scores better by this much (natural logarithm).
 MARGIN = 1.0
 #: Distinct tokens a task holds before it hands its counts on.
@@ -52,8 +55,8 @@ HELD_TOKENS = 200_000
 def plain(text: str) -> str:
     """Compatibility-normalised, canonically composed text with plain spaces and without ignorable characters; letter case, digits, blanks and line breaks stay."""
     out = []
-    for run in regex.split(r"([…№™½¼¾²³¹ªº‥℃℉µ]+)", text):
-        if run and run[0] in KEPT:
+    for run in _KEPT_RUNS.split(text):
+        if run and run[0] in KEPT | LUNATE:
             out.append(run)
         elif run:
             out.append(_spaced(unicodedata.normalize("NFKC", _spaced(run))))
@@ -81,6 +84,11 @@ def script(c: str) -> str:
     return unicodedata.name(c, "? ?").split()[0].lower()[:8] if o >= 0x250 else "latn"
 
 
+def classed(token: str) -> str:
+    """``token`` in the alphabet of the n-grams."""
+    return "".join(c if ord(c) < ALPHABET_END else _FAR for c in token)
+
+
 class Scores:
     """Character trigram scores, interpolated with bigrams, and the cost of mixing scripts in a token."""
 
@@ -96,10 +104,13 @@ class Scores:
     def step(self, context: str, c: str) -> float:
         gram = context[-2:] + c
         if (known := self.memo.get(gram)) is None:
+            if len(self.memo) > HELD_TOKENS:
+                self.memo.clear()
+            as_met, gram = gram, classed(gram)
             tri = (self.grams.get(gram, 0) + 0.02) / (self.before.get(gram[:-1], 0) + 8)
             pair = gram[1:]
             bi = (self.grams.get(pair, 0) + 0.02) / (self.before.get(pair[:-1], 0) + 20)
-            self.memo[gram] = known = math.log(0.75 * tri + 0.25 * bi)
+            self.memo[as_met] = known = math.log(0.75 * tri + 0.25 * bi)
         return known
 
     def best(self, token: str, home: frozenset[str]) -> str:
@@ -174,11 +185,10 @@ def canonical(text: str, scores: Scores, memo: dict[tuple[str, frozenset[str]],
         if (found := memo.get((token, home))) is None:
             if len(memo) > HELD_TOKENS:
                 memo.clear()
-            found = token
-            for _ in range(4):  # a changed token may have another main script
-                before, found = found, scores.best(found, home)
-                if found == before:
-                    break
+            found, met = token, set()
+            while found not in met:  # a changed token may have another main script
+                met.add(found)
+                found = scores.best(found, home)
             memo[token, home] = found
         return found
 
@@ -191,7 +201,7 @@ GRAM_SCHEMA = T.StructType([T.StructField("gram", T.StringType()), T.StructField
 def _gram_batch(tokens: Counter[str]) -> pa.RecordBatch:
     grams: Counter[str] = Counter()
     for token, n in tokens.items():
-        padded = _BOUND * 2 + "".join(c if ord(c) < ALPHABET_END else "\x03" for c in token) + _BOUND
+        padded = _BOUND * 2 + classed(token) + _BOUND
         for i in range(2, len(padded)):
             grams[padded[i - 2 : i + 1]] += n
             grams[padded[i - 1 : i + 1]] += n

@@ -174,6 +174,27 @@ def test_no_skipped_text_changes():
     assert not [t for t in (x + y for x in ascii_signs for y in ascii_signs) if not can.SUSPICIOUS.search(t) and can.canonical(t, scores, {}) != t]
 
 
+def test_signs_beyond_the_alphabet_score_as_they_are_counted():
+    counted = can._gram_batch(can.Counter({"“कर”": 100}))
+    scores = can.Scores(dict(zip(*(c.to_pylist() for c in counted.columns))))
+    assert scores.step("\x02\x02", "“") == scores.step("\x02\x02", "”") > -1
+
+
+def test_sequences_that_look_like_one_sign(spark):
+    texts = ["उसलाई दिनेछ॥"] * 40 + ["उसलार्इ दिनेछ||", "उसलाई दिनेछ।।"]
+    got = can.consistent(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), ["id"], "t").filter("is_changed").collect()
+    assert {r.id: r.canonical_text for r in got} == {40: texts[0], 41: texts[0]}
+
+
+def test_rounds_end_in_a_form_that_stays():
+    random.seed(3)
+    scores = can.Scores({"".join(random.choice("aаcсоo|।अआा\x02") for _ in range(random.choice([2, 3]))): random.randrange(1000) for _ in range(600)})
+    for _ in range(400):
+        word = "".join(random.choice("aаcсоo|।अआाे") for _ in range(random.randrange(1, 9)))
+        once = can.canonical(word, scores, {})
+        assert can.canonical(once, scores, {}) == once or can.canonical(can.canonical(once, scores, {}), scores, {}) in (word, once)
+
+
 def test_disguised_texts_come_back():
     random.seed(1)
     counts = can.Counter()
