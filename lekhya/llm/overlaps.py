@@ -1,7 +1,8 @@
 """Problem 2: records of evaluation splits that the training split also holds, exactly or almost.
 
-Method: hashes of the word n-grams of the evaluation records are partitioned by hash, the training records are
-scanned for hits, and the containment of each evaluation record in each training record it hits is computed.
+Method: hashes of the word n-grams of the evaluation records, and least hashes of their single words and of trigrams
+within words for texts that are reordered or respelled, are partitioned by hash, the training records are scanned for
+hits, and the agreement with and containment in each training record hit is computed over whole texts.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,11 +24,12 @@ from lekhya.sources import table
 
 #: Words of a gram: a pair with a fifth of its words changed, well spread, still shares some three-word grams.
 GRAM = 3
-#: Least share of an evaluation record's grams that a training record must hold to be compared in full.
+#: Least share of an evaluation record's three-word grams of which no pair is lost by looking up its rarest ones.
 CONTAINMENT = 0.3
-#: Evaluation texts of fewer words are also looked up by single words and character trigrams: below, changes well spread
-#: over a fifth of the words can leave less than CONTAINMENT of the grams.
-SHORT = 14
+#: Bands and least hashes in a band of the two kinds of single tokens, whose order doesn't count: words, and character
+#: trigrams within words. Texts of agreement 0.8 share two thirds of their tokens, and meet in a band with probability
+#: 1 - (1 - (2/3)**r)**b: 0.9997 by words, 0.9963 by trigrams; texts that share a tenth meet in one of ten thousand cases.
+BANDS = {"w": (60, 5), "c": (60, 6)}
 #: Least agreement (see ``agreement``) of an overlap.
 AGREEMENT = 0.8
 
@@ -37,9 +40,6 @@ _SPELL = str.maketrans(SPELLINGS)
 _WORD = re.compile(r"[^\W_]+")
 _SIGNS = re.compile(r"[^\w\sऀ-ॣ]+|[_।॥:|]")
 
-GRAMS_SCHEMA = T.StructType([T.StructField("norm", T.StringType()), T.StructField("grams", T.ArrayType(T.LongType()))])
-
-
 def normal(text: str | None) -> str:
     """Words compared by: canonical characters, folded case, digits, look-alikes and interchangeable spellings, no signs."""
     folded = plain(text or "").lower().translate(_FOLD)
@@ -65,41 +65,42 @@ def token_hashes(norm: str) -> tuple[list[int], list[int]]:
     return tuple([h - (1 << 64) if h >> 63 else h for h in x] for x in digests)
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.LongType())))
-def tokens_by_kind(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for norms in batches:
-        yield pd.Series([token_hashes(x) for x in norms])
+#: Tokens hashed in one go.
+_HELD = 4096
+_FACTORS = {kind: np.random.default_rng(20240607 + i).integers(1, 1 << 63, size=(2, b * r), dtype=np.uint64) | np.uint64(1) for i, (kind, (b, r)) in enumerate(BANDS.items())}
 
 
-def short_hits(evals: DataFrame, trains: DataFrame, least: float) -> DataFrame:
-    """Pairs (eval_rep, train_rep) that hold every one of agreement ``least`` of short evaluation texts.
+def bands(tokens: list[int], kind: str) -> np.ndarray:
+    """One 64-bit key a band: a mix of the least hashes of all tokens under the functions of the band, the same for the same tokens in any order."""
+    n_bands, width = BANDS[kind]
+    factor, shift = _FACTORS[kind]
+    own = np.array(tokens, dtype=np.int64).view(np.uint64)
+    least = np.full(n_bands * width, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(0, len(own), _HELD):
+            mixed = own[i : i + _HELD, None] * factor + shift
+            least = np.minimum(least, (mixed ^ (mixed >> np.uint64(29))).min(axis=0))
+        keys = np.full(n_bands, len(kind), dtype=np.uint64) + np.arange(n_bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(ord(kind))
+        for column in least.reshape(n_bands, width).T:
+            keys = (keys ^ column) * np.uint64(0xD6E8FEB86659FD93)
+            keys ^= keys >> np.uint64(32)
+    return keys.view(np.int64)
 
-    Agreement s of texts of m and m' tokens takes an overlap of s (m + m') / 2, so neither is over (2 - s) / s times as
-    long and each shares r = s / (2 - s) of its tokens or more. Two such texts meet in the m - ceil(r m) + 1 tokens that are rarest
-    in one order common to all. Either kind of token is looked up alone.
-    """
-    share = least / (2 - least)
 
-    def listed(texts: DataFrame, name: str) -> DataFrame:
-        told = texts.select(F.col("rep").alias(name), F.posexplode(tokens_by_kind("norm")).alias("kind", "tokens"))
-        return told.select(name, "kind", F.size("tokens").alias("m"), F.explode("tokens").alias("token"))
+SKETCH_SCHEMA = T.StructType([T.StructField("grams", T.ArrayType(T.LongType())), T.StructField("bands", T.ArrayType(T.LongType()))])
 
-    def rarest(tokens: DataFrame, name: str) -> DataFrame:
-        ranked = tokens.join(frequency, "token", "left").withColumn("nth", F.row_number().over(Window.partitionBy(name, "kind").orderBy(F.coalesce("df", F.lit(0)), "token")))
-        return ranked.filter(F.col("nth") <= F.col("m") - F.ceil(F.col("m") * share - 1e-9) + 1).select(name, "m", "token")
 
-    train_tokens = listed(trains, "train_rep")
-    frequency = train_tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    one, other = rarest(listed(evals, "eval_rep"), "eval_rep"), rarest(train_tokens, "train_rep").withColumnRenamed("m", "m2")
-    fit = (F.col("m2") * share <= F.col("m") + 1e-9) & (F.col("m") * share <= F.col("m2") + 1e-9)
-    return one.join(other, "token").filter(fit).select("eval_rep", "train_rep").distinct()
+@F.pandas_udf(SKETCH_SCHEMA)
+def sketches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for norms in batches:
+        told = [token_hashes(x) for x in norms]
+        yield pd.DataFrame({"grams": [word_grams(x) for x in norms], "bands": [np.concatenate([bands(t, kind) for t, kind in zip(tokens, BANDS)]) for tokens in told]})
 
 
-@F.pandas_udf(GRAMS_SCHEMA)
-def gram_hashes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+@F.pandas_udf(T.StringType())
+def normals(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
-        norms = [normal(t) for t in texts]
-        yield pd.DataFrame({"norm": norms, "grams": [word_grams(x) for x in norms]})
+        yield pd.Series([normal(t) for t in texts], dtype=object)
 
 
 def _dice(a: Counter, b: Counter) -> float:
@@ -118,10 +119,17 @@ def agreement(a: str, b: str) -> float:
     return max(score, _dice(_trigrams(x), _trigrams(y)))
 
 
-@F.pandas_udf(T.DoubleType())
-def agreements(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def containment(a: str, b: str) -> float:
+    """Share of the three-word grams of a that b holds."""
+    own, other = set(word_grams(a)), set(word_grams(b))
+    return len(own & other) / len(own) if own else 0.0
+
+
+@F.pandas_udf(T.StructType([T.StructField("agreement", T.DoubleType()), T.StructField("containment", T.DoubleType())]))
+def compared(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for a, b in batches:
-        yield pd.Series([agreement(x, y) for x, y in zip(a, b)])
+        scores = [agreement(x, y) for x, y in zip(a, b)]
+        yield pd.DataFrame({"agreement": scores, "containment": [containment(x, y) if s >= AGREEMENT else 0.0 for s, x, y in zip(scores, a, b)]})
 
 
 def split_class(split: Column) -> Column:
@@ -130,40 +138,49 @@ def split_class(split: Column) -> Column:
     return F.when(name == "train", "train").when(name.isin("development", "dev", "validation", "test"), "eval")
 
 
-def cross_overlaps(records: DataFrame, theta: float = CONTAINMENT, least: float = AGREEMENT, short: int = 0) -> DataFrame:
-    """Overlaps (eval_id, train_id, agreement, containment) of ``records`` (id, text, class), class ``train`` or ``eval``.
+def linked(records: DataFrame, theta: float = CONTAINMENT, least: float = AGREEMENT) -> tuple[DataFrame, DataFrame]:
+    """Members (id, class, text) of each text and the agreeing texts (eval_text, train_text, agreement, containment) of ``records`` (id, text, class).
 
-    A record may have several texts; the best pair of texts counts. Texts that normalise alike are compared once, by
-    one representative, so a group of copies costs as much as one text. Of an evaluation text's m grams only the
-    m - ceil(theta m) + 1 that are rarest in training are looked up: any text that holds a share theta of the grams
-    holds one of these, so no such pair is lost and formulaic grams that a third of all rows share aren't joined. Pairs of
-    evaluation texts under ``short`` words are also looked up by ``short_hits``, whatever their containment. Null, empty and sign-only texts, null ids and null classes overlap with nothing; repeated rows count once.
+    Texts that normalise alike are one text, named by a 128-bit hash, so a group of copies costs as much as one. An
+    evaluation text and a training text are compared when they share a key of one of two kinds, both partitioned by
+    hash. Word three-grams: of an evaluation text's m grams the m - ceil(theta m) + 1 that are rarest in training are
+    looked up; any text that holds a share theta of the grams holds one of these, so no such pair is lost and formulaic
+    grams that a third of all rows share aren't joined. Bands of least hashes over single words and over trigrams within
+    words, whatever their order: see BANDS for what they find. A key is 64 bits; texts whose keys collide are compared
+    by their words like all others.
     """
     rows = records.filter(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("class").isNotNull()).select("id", "class", "text").distinct()
-    told = rows.withColumn("__g", gram_hashes("text")).select("id", "class", F.col("__g.norm").alias("norm"), F.col("__g.grams").alias("grams")).filter(F.size("grams") > 0)
-    told = cut(told.withColumn("rep", F.sha2("norm", 256)))
-    members = told.select("id", "class", "rep").distinct()
-    texts = {c: told.filter(F.col("class") == c).groupBy("rep").agg(F.first("norm").alias("norm"), F.first("grams").alias("grams")) for c in ("train", "eval")}
-    train_grams = texts["train"].select(F.col("rep").alias("train_rep"), F.explode("grams").alias("gram"))
-    frequency = train_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    eval_grams = texts["eval"].select(F.col("rep").alias("eval_rep"), F.size("grams").alias("m"), F.explode("grams").alias("gram"))
-    ranked = eval_grams.join(frequency, "gram", "left").withColumn("nth", F.row_number().over(Window.partitionBy("eval_rep").orderBy(F.coalesce("df", F.lit(0)), "gram")))
-    looked_up = ranked.filter((F.col("nth") <= F.col("m") - F.ceil(F.col("m") * theta) + 1) & F.col("df").isNotNull()).select("eval_rep", "gram")
-    hits = looked_up.join(train_grams, "gram").select("eval_rep", "train_rep")
-    brief = texts["eval"].filter(F.size(F.split("norm", " ")) < short)
-    signs = F.length(F.replace("norm", F.lit(" ")))  # as many as character trigrams
-    longest = brief.agg(F.max(signs)).first()[0] if short else None
-    if longest:
-        reach = (2 - least) / least
-        near = texts["train"].filter((F.size(F.split("norm", " ")) <= short * reach) | (signs <= longest * reach + 1e-9))
-        hits = hits.unionByName(short_hits(brief, near, least))
-    hits = hits.distinct()
-    compared = hits.join(texts["eval"].select(F.col("rep").alias("eval_rep"), F.col("norm").alias("a"), F.col("grams").alias("ga")), "eval_rep")
-    compared = compared.join(texts["train"].select(F.col("rep").alias("train_rep"), F.col("norm").alias("b"), F.col("grams").alias("gb")), "train_rep")
-    contained = compared.withColumn("containment", F.size(F.array_intersect("ga", "gb")) / F.size("ga")).filter((F.col("containment") >= theta) | (F.size(F.split("a", " ")) < short))
-    agreed = cut(contained.withColumn("agreement", agreements("a", "b")).select("eval_rep", "train_rep", "containment", "agreement").filter(F.col("agreement") >= least))
-    by = {c: members.filter(F.col("class") == c).select(F.col("id").alias(f"{c}_id"), F.col("rep").alias(f"{c}_rep")) for c in ("train", "eval")}
-    pairs = agreed.join(by["eval"], "eval_rep").join(by["train"], "train_rep").filter("eval_id <> train_id")
+    told = rows.select("id", "class", normals("text").alias("norm")).filter("norm <> ''")
+    told = cut(told.select("id", "class", "norm", F.xxhash64("norm").alias("h"), F.xxhash64(F.lit(1), "norm").alias("h2")).distinct())
+    members = told.select("id", "class", F.struct("h", "h2").alias("text"))
+    texts = told.groupBy("h", "h2").agg(F.first("norm").alias("norm"), F.bool_or(F.col("class") == "train").alias("train"), F.bool_or(F.col("class") == "eval").alias("eval"))
+    sketched = cut(texts.select("h", "train", "eval", sketches("norm").alias("s")).select("h", "train", "eval", "s.*"))
+
+    def keyed(side: str, kind: str) -> DataFrame:
+        return sketched.filter(side).select(F.col("h").alias(f"{side}_h"), F.size(kind).alias("m"), F.explode(kind).alias("key"))
+
+    train_grams = keyed("train", "grams").select("train_h", "key")
+    frequency = train_grams.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+    held = keyed("eval", "grams").join(frequency, "key", "left")
+    ranked = held.withColumn("nth", F.row_number().over(Window.partitionBy("eval_h").orderBy(F.coalesce("df", F.lit(0)), "key")))
+    looked_up = ranked.filter((F.col("nth") <= F.col("m") - F.ceil(F.col("m") * theta) + 1) & F.col("df").isNotNull()).select("eval_h", "key")
+    hits = looked_up.join(train_grams, "key").select("eval_h", "train_h")
+    met = keyed("eval", "bands").select("eval_h", "key").join(keyed("train", "bands").select("train_h", "key"), "key").select("eval_h", "train_h")
+    pairs = hits.unionByName(met).distinct()
+    side = lambda of, name: told.filter(F.col("class") == of).groupBy("h", "h2").agg(F.first("norm").alias(name)).select(F.col("h").alias(f"{of}_h"), F.struct("h", "h2").alias(f"{of}_text"), name)
+    both = pairs.join(side("eval", "a"), "eval_h").join(side("train", "b"), "train_h").withColumn("s", compared("a", "b"))
+    return members, cut(both.select("eval_text", "train_text", "s.*").filter(F.col("agreement") >= least))
+
+
+def cross_overlaps(records: DataFrame, theta: float = CONTAINMENT, least: float = AGREEMENT) -> DataFrame:
+    """Overlaps (eval_id, train_id, agreement, containment) of ``records`` (id, text, class), class ``train`` or ``eval``.
+
+    A record may have several texts; the best pair of texts counts. Null, empty and sign-only texts, null ids and null
+    classes overlap with nothing; repeated rows count once. See ``linked`` for which texts are compared.
+    """
+    members, agreed = linked(records, theta, least)
+    by = {c: members.filter(F.col("class") == c).select(F.col("id").alias(f"{c}_id"), F.col("text").alias(f"{c}_text")) for c in ("train", "eval")}
+    pairs = agreed.join(by["eval"], "eval_text").join(by["train"], "train_text").filter("eval_id <> train_id")
     return pairs.groupBy("eval_id", "train_id").agg(F.max("agreement").alias("agreement"), F.max("containment").alias("containment"))
 
 
@@ -175,15 +192,21 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = cross_overlaps(questions(spark, sf_dir), short=SHORT)
+    found = cross_overlaps(questions(spark, sf_dir))
     return found.select(F.least("eval_id", "train_id").alias("question_id_a"), F.greatest("eval_id", "train_id").alias("question_id_b")).distinct()
 
 
 def p2_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per evaluation split and source: items, items that training also holds, their share, pairs, and pairs that agree wholly."""
+    """Per evaluation split and source: items, items that training also holds, their share, how many hold it word for word, and training texts and records in agreement.
+
+    Counted by the sizes of the texts' classes: copies are never expanded into pairs. An item whose questions differ
+    in their words counts its training texts and records once a text.
+    """
     items = table(spark, sf_dir, "eval_items").filter(split_class(F.col("split")) == "eval").select(F.col("id").alias("eval_id"), F.lower(F.regexp_replace("split", r"(?U)\s", "")).alias("split"), "source").distinct()
-    found = cross_overlaps(questions(spark, sf_dir), short=SHORT).groupBy("eval_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("agreement") >= 1).alias("n_exact"))
-    counted = items.join(found, "eval_id", "left").groupBy("split", "source").agg(
-        F.count(F.lit(1)).alias("n_items"), F.count("n_pairs").alias("n_overlapping"), F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("n_pairs"), F.coalesce(F.sum("n_exact"), F.lit(0)).alias("n_exact_pairs")
-    )
+    members, agreed = linked(questions(spark, sf_dir))
+    copies = members.filter("class = 'train'").groupBy(F.col("text").alias("train_text")).agg(F.count(F.lit(1)).alias("n"))
+    by_text = agreed.join(copies, "train_text").groupBy("eval_text").agg(F.count(F.lit(1)).alias("n_texts"), F.sum("n").alias("n_records"), F.max(F.col("agreement") >= 1).alias("is_exact"))
+    found = members.filter("class = 'eval'").select(F.col("id").alias("eval_id"), F.col("text").alias("eval_text")).join(by_text, "eval_text").groupBy("eval_id").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_records").alias("n_records"), F.max("is_exact").alias("is_exact"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    counted = items.join(found, "eval_id", "left").groupBy("split", "source").agg(F.count(F.lit(1)).alias("n_items"), F.count("n_texts").alias("n_overlapping"), F.count_if(F.col("is_exact")).alias("n_exact"), zero("n_texts"), zero("n_records"))
     return counted.withColumn("overlap_share", F.round(F.col("n_overlapping") / F.col("n_items"), 6))
