@@ -1,4 +1,4 @@
-from lekhya.plans.lineage import cut
+from lekhya.plans.lineage import cut, shared_folder
 from lekhya.plans.positions import positions
 
-__all__ = ["cut", "positions"]
+__all__ = ["cut", "positions", "shared_folder"]
