@@ -7,6 +7,7 @@ hits, and the agreement with and containment in each training record hit is comp
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,10 +27,15 @@ from lekhya.sources import table
 GRAM = 3
 #: Least share of an evaluation record's three-word grams of which no pair is lost by looking up its rarest ones.
 CONTAINMENT = 0.3
+#: Of the three-word grams looked up so many must hit.
+HITS = 3
 #: Bands and least hashes in a band of the two kinds of single tokens, whose order doesn't count: words, and character
-#: trigrams within words. Texts of agreement 0.8 share two thirds of their tokens, and meet in a band with probability
-#: 1 - (1 - (2/3)**r)**b: 0.9997 by words, 0.9963 by trigrams; texts that share a tenth meet in one of ten thousand cases.
-BANDS = {"w": (60, 5), "c": (60, 6)}
+#: trigrams within words. Texts are compared that meet in MEETINGS bands. Texts of agreement 0.8 share two thirds of their
+#: tokens of one kind, so a band of r holds them with probability q = (2/3)**r and they are compared with 1 - (1 - q)**b -
+#: b q (1 - q)**(b - 1): 0.998 by words, 0.994 by trigrams, more the more they agree. Texts that share a fifth of their
+#: trigrams are with one in a hundred thousand.
+BANDS = {"w": (60, 5), "c": (80, 6)}
+MEETINGS = 2
 #: Least agreement (see ``agreement``) of an overlap.
 AGREEMENT = 0.8
 
@@ -57,33 +63,41 @@ def _trigrams(words: Counter) -> Counter:
     return Counter(f" {w} "[i : i + 3] for w in words.elements() for i in range(len(w)))
 
 
+@functools.lru_cache(maxsize=1024)
+def _counted(norm: str) -> tuple[Counter, Counter]:
+    words = Counter(norm.split())
+    return words, _trigrams(words)
+
+
 def token_hashes(norm: str) -> tuple[list[int], list[int]]:
     """64-bit hashes of the words and of the character trigrams within words, each occurrence a token of its own."""
-    words = Counter(norm.split())
-    kinds = (("w", words), ("c", _trigrams(words)))
+    words, signs = _counted(norm)
+    kinds = (("w", words), ("c", signs))
     digests = [[xxhash.xxh3_64_intdigest(f"{kind} {token} {nth}") for token, n in tokens.items() for nth in range(n)] for kind, tokens in kinds]
     return tuple([h - (1 << 64) if h >> 63 else h for h in x] for x in digests)
 
 
 #: Tokens hashed in one go.
 _HELD = 4096
-_FACTORS = {kind: np.random.default_rng(20240607 + i).integers(1, 1 << 63, size=(2, b * r), dtype=np.uint64) | np.uint64(1) for i, (kind, (b, r)) in enumerate(BANDS.items())}
+_FACTORS = {kind: (np.random.default_rng(20240607 + i).integers(0, 1 << 32, size=(2, b * r, 1), dtype=np.uint64) | np.uint64(1)).astype(np.uint32) for i, (kind, (b, r)) in enumerate(BANDS.items())}
 
 
 def bands(tokens: list[int], kind: str) -> np.ndarray:
-    """One 64-bit key a band: a mix of the least hashes of all tokens under the functions of the band, the same for the same tokens in any order."""
+    """One 64-bit key a band: a mix of the least 32-bit hashes of all tokens under the functions of the band, the same for the same tokens in any order."""
     n_bands, width = BANDS[kind]
     factor, shift = _FACTORS[kind]
-    own = np.array(tokens, dtype=np.int64).view(np.uint64)
-    least = np.full(n_bands * width, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(0, len(own), _HELD):
-            mixed = own[i : i + _HELD, None] * factor + shift
-            least = np.minimum(least, (mixed ^ (mixed >> np.uint64(29))).min(axis=0))
-        keys = np.full(n_bands, len(kind), dtype=np.uint64) + np.arange(n_bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(ord(kind))
-        for column in least.reshape(n_bands, width).T:
-            keys = (keys ^ column) * np.uint64(0xD6E8FEB86659FD93)
-            keys ^= keys >> np.uint64(32)
+    own = (np.array(tokens, dtype=np.int64).view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+    least = np.full(n_bands * width, 0xFFFFFFFF, dtype=np.uint32)
+    for i in range(0, len(own), _HELD):
+        mixed = own[None, i : i + _HELD] * factor
+        mixed ^= mixed >> np.uint32(15)
+        mixed *= factor
+        mixed += shift
+        least = np.minimum(least, mixed.min(axis=1))
+    keys = np.arange(n_bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(ord(kind))
+    for column in least.reshape(n_bands, width).T:
+        keys = (keys ^ column) * np.uint64(0xD6E8FEB86659FD93)
+        keys ^= keys >> np.uint64(32)
     return keys.view(np.int64)
 
 
@@ -104,19 +118,18 @@ def normals(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def _dice(a: Counter, b: Counter) -> float:
-    whole = sum(a.values()) + sum(b.values())
-    return 2 * sum((a & b).values()) / whole if whole else 0.0
+    whole = a.total() + b.total()
+    if len(a) > len(b):
+        a, b = b, a
+    return 2 * sum(min(n, b[t]) for t, n in a.items() if t in b) / whole if whole else 0.0
 
 
 def agreement(a: str, b: str) -> float:
     """Share of two normal texts that agrees, whatever its order: the larger Dice coefficient of their words and of their character trigrams within words."""
     if a == b:
         return 1.0
-    x, y = Counter(a.split()), Counter(b.split())
-    score = _dice(x, y)
-    if score >= AGREEMENT:
-        return score
-    return max(score, _dice(_trigrams(x), _trigrams(y)))
+    (words, signs), (other_words, other_signs) = _counted(a), _counted(b)
+    return max(_dice(words, other_words), _dice(signs, other_signs))
 
 
 def containment(a: str, b: str) -> float:
@@ -143,9 +156,9 @@ def linked(records: DataFrame, theta: float = CONTAINMENT, least: float = AGREEM
 
     Texts that normalise alike are one text, named by a 128-bit hash, so a group of copies costs as much as one. An
     evaluation text and a training text are compared when they share a key of one of two kinds, both partitioned by
-    hash. Word three-grams: of an evaluation text's m grams the m - ceil(theta m) + 1 that are rarest in training are
-    looked up; any text that holds a share theta of the grams holds one of these, so no such pair is lost and formulaic
-    grams that a third of all rows share aren't joined. Bands of least hashes over single words and over trigrams within
+    hash. Word three-grams: of an evaluation text's m grams the m - ceil(theta m) + HITS that are rarest in training are
+    looked up; any text that holds a share theta of the grams holds HITS of these (or all it must), so no such pair is lost
+    and formulaic grams that a third of all rows share aren't joined. Bands of least hashes over single words and over trigrams within
     words, whatever their order: see BANDS for what they find. A key is 64 bits; texts whose keys collide are compared
     by their words like all others.
     """
@@ -163,9 +176,11 @@ def linked(records: DataFrame, theta: float = CONTAINMENT, least: float = AGREEM
     frequency = train_grams.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
     held = keyed("eval", "grams").join(frequency, "key", "left")
     ranked = held.withColumn("nth", F.row_number().over(Window.partitionBy("eval_h").orderBy(F.coalesce("df", F.lit(0)), "key")))
-    looked_up = ranked.filter((F.col("nth") <= F.col("m") - F.ceil(F.col("m") * theta) + 1) & F.col("df").isNotNull()).select("eval_h", "key")
-    hits = looked_up.join(train_grams, "key").select("eval_h", "train_h")
-    met = keyed("eval", "bands").select("eval_h", "key").join(keyed("train", "bands").select("train_h", "key"), "key").select("eval_h", "train_h")
+    need = F.greatest(F.ceil(F.col("m") * theta - 1e-9), F.lit(1))
+    ranked = ranked.withColumn("least", F.least(need, F.lit(HITS)))
+    looked_up = ranked.filter((F.col("nth") <= F.col("m") - need + F.col("least")) & F.col("df").isNotNull()).select("eval_h", "key", "least")
+    hits = looked_up.join(train_grams, "key").groupBy("eval_h", "train_h").agg(F.count(F.lit(1)).alias("n"), F.first("least").alias("least")).filter("n >= least").select("eval_h", "train_h")
+    met = keyed("eval", "bands").select("eval_h", "key").join(keyed("train", "bands").select("train_h", "key"), "key").groupBy("eval_h", "train_h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MEETINGS).select("eval_h", "train_h")
     pairs = hits.unionByName(met).distinct()
     side = lambda of, name: told.filter(F.col("class") == of).groupBy("h", "h2").agg(F.first("norm").alias(name)).select(F.col("h").alias(f"{of}_h"), F.struct("h", "h2").alias(f"{of}_text"), name)
     both = pairs.join(side("eval", "a"), "eval_h").join(side("train", "b"), "train_h").withColumn("s", compared("a", "b"))
