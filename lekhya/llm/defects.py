@@ -7,11 +7,13 @@ terminal contexts of all answers.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,7 +57,7 @@ OUT_OF_SCOPE = re.compile(r"दायरा\s*बाहिर|(?:कानून
 SCRIPTS = {
     k: re.compile(v)
     for k, v in {
-        "latn": r"[a-zß-öø-ɏ]", "deva": r"[ऄ-ह]", "cyrl": r"[Ѐ-ӿ]", "arab": r"[ء-يٮ-ۓ]", "el": r"[Ͱ-Ͽ]", "he": r"[א-ת]", "bn": r"[অ-হ]", "pa": r"[ਅ-ਹ]", "gu": r"[અ-હ]", "ta": r"[அ-ஹ]", "te": r"[అ-హ]", "kn": r"[ಅ-ಹ]",
+        "deva": r"[ऄ-ह]", "latn": r"[a-zß-öø-ɏ]", "cyrl": r"[Ѐ-ӿ]", "arab": r"[ء-يٮ-ۓ]", "el": r"[Ͱ-Ͽ]", "he": r"[א-ת]", "bn": r"[অ-হ]", "pa": r"[ਅ-ਹ]", "gu": r"[અ-હ]", "ta": r"[அ-ஹ]", "te": r"[అ-హ]", "kn": r"[ಅ-ಹ]",
         "ml": r"[അ-ഹ]", "si": r"[අ-ෆ]", "th": r"[ก-ฮ]", "bo": r"[ཀ-ཬ]", "my": r"[က-ဪ]", "ja": r"[ぁ-ヿ]", "ko": r"[가-힣]", "zh": r"[一-鿿]",
     }.items()
 }
@@ -84,11 +86,27 @@ FUNCTION_WORDS = {
 # Case, plural and verb endings of Nepali.
 NEPALI_ENDING = re.compile(r".(?:हरू|हरूले|हरूको|हरूलाई|को|ले|लाई|बाट|सँग|देखि|सम्म|भित्र|पछि|अगावै|पर्छ|पर्ने|सक्छ|सक्ने|गर्न|दिन|न्छ|न्छन्|नेछ|दैन|ँदैन|इन्छ|एको|कोमा|एमा|एका|एन|इन|िनँ|छौँ|नुहोस्|नुहोला|ोला)$")
 
-_DECLINE = re.compile("|".join(DECLINES), re.I)
-_COURTESY = re.compile("|".join(COURTESIES), re.I)
+_LETTERS = [re.compile("[ऀ-ॿ]"), re.compile("[a-z]"), re.compile("[а-я]")]
+
+
+def _by_script(patterns: list[str]) -> list[tuple[re.Pattern, re.Pattern]]:
+    """Each script's letters with the patterns that hold some outside of escapes, so that a clause is searched for those of its scripts only."""
+    bare = {p: re.sub(r"\\.|\(\?\w*:", "", p) for p in patterns}
+    found = [(letters, [p for p in patterns if letters.search(bare[p])]) for letters in _LETTERS]
+    return [(letters, re.compile("|".join(own), re.I)) for letters, own in found if own]
+
+
+_DECLINE, _COURTESY = _by_script(DECLINES), _by_script(COURTESIES)
+
+
+def _searched(kind: list[tuple[re.Pattern, re.Pattern]], clause: str) -> re.Match | None:
+    return next((m for letters, pattern in kind if letters.search(clause) and (m := pattern.search(clause))), None)
+
+
 _CLAUSES = re.compile(r"[।॥?!;\n]+|[.](?=\s|$)")
 _TURN = re.compile(r"(?:,\s*|\s)(?:but|however|nevertheless|nonetheless|still|yet|तर|तैपनि|तथापि|लेकिन|परन्तु|किन्तु|फिर भी)[\s,]+")
 _GAPS = re.compile(r"\s+")
+_INVISIBLE = regex.compile(r"\p{Cf}+")
 
 #: An answer only gives back the question when its residual is at most this share of its own compressed size.
 COPY_RESIDUAL = 0.45
@@ -96,10 +114,13 @@ COPY_RESIDUAL = 0.45
 ANSWER_WORDS = 4
 
 
+@functools.lru_cache(maxsize=1024)
 def fold(text: str | None) -> str:
     """Compatibility-normalised lower-case text without invisible signs, blanks single and trimmed; null is empty."""
     folded = unicodedata.normalize("NFKC", text or "").lower()
-    return _GAPS.sub(" ", "".join(c for c in folded if unicodedata.category(c) != "Cf")).strip()
+    if not folded.isascii():
+        folded = _INVISIBLE.sub("", folded)
+    return _GAPS.sub(" ", folded).strip()
 
 
 def is_empty(folded: str) -> bool:
@@ -117,7 +138,7 @@ def is_notice(folded: str) -> bool:
 
 
 def says_more(part: str) -> bool:
-    return not _DECLINE.search(part) and not _COURTESY.search(part) and len(part.split()) >= ANSWER_WORDS
+    return len(part.split()) >= ANSWER_WORDS and not _searched(_DECLINE, part) and not _searched(_COURTESY, part)
 
 
 def is_refusal(folded: str) -> bool:
@@ -127,18 +148,27 @@ def is_refusal(folded: str) -> bool:
         clause = clause.strip(" ,:-—'\"")
         if not clause:
             continue
-        if found := _DECLINE.search(clause):
+        if found := _searched(_DECLINE, clause):
             if any(map(says_more, _TURN.split(clause[found.end() :])[1:])):
                 return False
             declined = True
-        elif says_more(clause):
+        elif len(clause.split()) >= ANSWER_WORDS and not _searched(_COURTESY, clause):
             return False
     return declined
 
 
+class _Signs(dict):
+    def __missing__(self, o: int) -> int:
+        self[o] = o if o < 128 else o - 0x900 + 128 if 0x900 <= o < 0x980 else o * 31 % 251
+        return self[o]
+
+
+_SIGNS = _Signs()
+
+
 def signs(text: str) -> bytes:
     """One byte a character, Devanagari behind ASCII, so that a match of zstandard is one of characters: in UTF-8 the shared lead bytes of a script pass for likeness."""
-    return bytes(o if o < 128 else o - 0x900 + 128 if 0x900 <= o < 0x980 else o * 31 % 251 for o in map(ord, text))
+    return text.translate(_SIGNS).encode("latin-1")
 
 
 def copy_residual(question: str, answer: str) -> float:
@@ -153,16 +183,21 @@ def copy_residual(question: str, answer: str) -> float:
     return max(0, given - 9) / max(1, alone - 9)
 
 
+@functools.lru_cache(maxsize=1024)
 def language(folded: str) -> str:
     """Code of the main language, or empty when the text has too few letters or too few known words to tell.
 
     The script with most letters decides first. Scripts of several languages are told apart by function words, those
     of Devanagari also by the case and verb endings that Nepali joins to its words.
     """
-    counts = {name: len(pattern.findall(folded)) for name, pattern in SCRIPTS.items()}
-    main = max(counts, key=lambda k: counts[k])
-    if sum(counts.values()) < 8:
+    counts, letters = {}, sum(map(str.isalpha, folded))
+    if letters < 8:
         return ""
+    for name, pattern in SCRIPTS.items():  # the commonest first; a majority needs no more counting
+        counts[name] = len(pattern.findall(folded))
+        if 2 * counts[name] > letters:
+            break
+    main = max(counts, key=lambda k: counts[k])
     if main not in ("deva", "latn", "cyrl", "arab"):
         return main
     words = re.findall(r"[^\W\d_]+" if main != "deva" else r"[ऀ-ॣ]+", folded)
