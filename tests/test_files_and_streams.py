@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ def test_publish_index_and_freshness(spark, tmp_path):
     assert index["postings"].count() == 3 and index["vectors"].count() == 2
     files.publish(chunks, path + "/postings2")
     files.publish(chunks.limit(1), path + "/postings2")
-    assert spark.read.parquet(path + "/postings2").count() == 1
+    assert files.read_published(spark, path + "/postings2").count() == 1
     with pytest.raises(Exception):
         files.read_index(spark, str(tmp_path / "missing"))
     old, new = tmp_path / "old", tmp_path / "new"
@@ -43,6 +44,34 @@ def test_publish_index_and_freshness(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "report")).count() == 2
 
 
+def test_publishing_swaps_one_pointer(spark, tmp_path):
+    path = str(tmp_path / "table")
+    with pytest.raises(FileNotFoundError):
+        files.read_published(spark, path)
+    seen = []
+    for n in (3, 2, 1):
+        files.publish(spark.range(n), path)
+        seen.append(files.published(spark, path))
+        assert files.read_published(spark, path).count() == n
+    assert spark.read.parquet(seen[1]).count() == 2 and not files.exists(spark, seen[0])
+    (tmp_path / "table" / "v99999999999999999999-torn").mkdir()  # a writer that died before the pointer moved
+    assert files.read_published(spark, path).count() == 1
+
+
+def test_only_a_broken_index_is_rebuilt(spark, tmp_path, monkeypatch):
+    chunks = spark.createDataFrame([(1, "क ख"), (2, "क")], "chunk_id long, text string")
+    path = str(tmp_path / "index")
+    files.write_index(chunks, path)
+    for f in Path(files.published(spark, path + "/lengths")).glob("part-*"):
+        f.write_bytes(b"not parquet")
+    with pytest.raises(Exception):
+        files.read_index(spark, path)
+    assert files.read_index(spark, path, chunks)["lengths"].count() == 2
+    monkeypatch.setattr(files, "read_published", lambda *_: (_ for _ in ()).throw(ConnectionError("no network")))
+    with pytest.raises(ConnectionError):
+        files.read_index(spark, path, chunks)
+
+
 def test_positions(spark):
     rows = spark.createDataFrame([(i % 3 if i % 7 else None, i) for i in range(200)], "g int, x int")
     got = positions(rows, ["g"], [F.col("x")], ["x"], buckets=5).collect()
