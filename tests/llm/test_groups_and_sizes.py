@@ -312,3 +312,43 @@ def test_short_overlaps_by_brute_force(spark):
     norms = {i: overlaps.normal(t) for i, t, _ in rows}
     want = {(e, t) for e in norms if e[0] == "e" for t in norms if t[0] == "t" and overlaps.agreement(norms[e], norms[t]) >= overlaps.AGREEMENT}
     assert len(want) > 120 and got == want
+
+
+@pytest.mark.parametrize("held", [0, 10, 250_000])
+def test_rounds_in_spark_and_in_one_task_agree(spark, held):
+    random.seed(14)
+    ids = [f"i{n:03}" for n in range(90)]
+    pairs = [tuple(random.sample(ids, 2)) for _ in range(60)] + [("x1", "i000"), ("x1", "i050")]
+    got = groups.components(spark.createDataFrame([(i,) for i in ids], "id string"), spark.createDataFrame(pairs, "u string, v string"), held)
+    want = union_find([*ids, "x1"], pairs)
+    assert {r.id: r.group_id for r in got.collect()} == {i: want[i] for i in ids}
+
+
+def test_component_table_grows_like_one_built_at_once(spark, tmp_path):
+    random.seed(15)
+    rows = [(f"i{random.randrange(400):03}", f"k{random.randrange(170)}" if random.random() < 0.7 else None) for _ in range(260)]
+    ids = sorted({i for i, _ in rows})
+    targets = spark.createDataFrame([("train", 0.6), ("test", 0.4)], "split string, target_share double")
+    frame = lambda some: (spark.createDataFrame([(i,) for i in some] + [(None,)], "id string"), spark.createDataFrame([r for r in rows if r[0] in some] + [(None, "k1")], "id string, key string"))
+    kept, splits = groups.ComponentTable(spark, str(tmp_path / "log")), {}
+    kept.COMPACT = 2
+    order = random.sample(ids, len(ids))
+    for part in (set(order[:80]), set(order[80:100]), set(order[100:101]), set(order[101:])):
+        before = {r.id: r for r in kept.current().collect()} if kept.log else {}
+        kept = groups.ComponentTable(spark, str(tmp_path / "log"))  # opened again
+        kept.COMPACT = 2
+        delta = {r.id: r for r in kept.update(*frame(part), targets).collect()}
+        now = {r.id: r for r in kept.current().collect()}
+        assert all(now[i] == r for i, r in before.items() if i not in delta) and all(now[i] == r for i, r in delta.items())
+        for i, r in now.items():
+            assert r.status == "quarantined" or i not in before or before[i].split == r.split
+        of = collections.defaultdict(set)
+        for r in now.values():
+            of[r.group_id].add(r.split)
+        assert all(len(x) == 1 for x in of.values())
+        assert len(delta) < len(now) or not before
+        splits = now
+    at_once = groups.ComponentTable(spark, str(tmp_path / "once"))
+    at_once.update(*frame(set(ids)), targets)
+    assert {i: r.group_id for i, r in splits.items()} == {r.id: r.group_id for r in at_once.current().collect()}
+    assert len(kept.log) <= 3
