@@ -2,8 +2,10 @@
 
 Method: a compressed FM-index per shard. Text is routed to shards so that any two places with a common span meet in
 one: winnowed anchors (the least hash of the k-grams in each window of the span length) pick the same k-gram in both
-records. Each shard indexes the segments around its anchors, streams them against the index by backward search over
-wavelet trees, and reports the matches that reach the threshold once extended.
+records. Each shard indexes the segments around its anchors and streams them against the index: backward search over
+wavelet matrices computes their matching statistics, the intervals that reach the threshold are reported, and places in
+one range share a class. An anchor with more places than a shard holds is split: its windows are told apart by hash, one
+place of each is indexed, and all places are streamed against that index in parts.
 """
 
 from __future__ import annotations
@@ -24,12 +26,12 @@ from lekhya.sources import table
 
 #: Characters of an anchor.
 ANCHOR = 50
-#: Segments of a shard: with 350 characters each about 1.4 million characters, some 60 MB while its index is built.
+#: Segments of a shard: with 350 characters each about 1.4 million characters, some 250 MB while its index is built.
 SHARD = 4096
-#: An anchor that stands at more places than this, repeats within one text included, and in different texts, goes the exact way for hot anchors instead of into one shard.
-HOT = 32
-#: Occurrences extended in one go.
-HITS = 1 << 21
+#: An anchor that stands at more places than this, repeats within one text included, and in different texts, is split.
+HOT = SHARD // 2
+#: The segments around anchors are cut from the texts where they are scanned, if so many anchors at most are met again (some 30 MB to each executor); else texts and anchors are joined by a shuffle.
+SENT = 1_000_000
 #: Characters hashed in one go.
 CHUNK = 1 << 20
 
@@ -190,91 +192,129 @@ def _segmenting(least: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return run
 
 
-MATCH_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("other_id", T.LongType()), T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())])
+#: Spans (set_id null) and memberships (begin and end null) of texts in sets of texts that share windows.
+FINDING_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("set_id", T.LongType())])
 
 
-def matches(docs: np.ndarray, begins: np.ndarray, segments: list[str], least: int) -> list[np.ndarray]:
-    """(doc, other, begin, end) of the common spans of at least ``least`` characters of segments of different records.
+class Streamed:
+    """Segments under one index, as codes."""
 
-    All segments are indexed, then streamed: a span of that length holds a whole block of half the length at a
-    multiple of that half in its record, so these blocks are searched backward in the index; each occurrence in
-    another record is extended to both sides within the segments.
+    def __init__(self, segments: list[str]):
+        self.lengths = np.array([len(s) for s in segments], dtype=np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths + 1)[:-1]]) if segments else np.zeros(0, np.int64)
+        raw = codepoints("\0".join(segments) + "\0").astype(np.int64)
+        behind = self.starts + self.lengths
+        inside = np.ones(len(raw), dtype=bool)
+        inside[behind] = False
+        self.alphabet, codes = np.unique(raw[inside], return_inverse=True)
+        self.codes = np.zeros(len(raw), dtype=np.int64)
+        self.codes[inside] = codes + 1
+        self.codes[behind] = SEPARATOR
+
+
+def islands(owner: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The unions of overlapping or touching intervals of each owner."""
+    if not len(owner):
+        return owner, begin, end
+    order = np.lexsort((end, begin, owner))
+    owner, begin, end = owner[order], begin[order], end[order]
+    first = np.concatenate([[True], owner[1:] != owner[:-1]])
+    group = np.cumsum(first) - 1
+    base = group * (int(end.max()) + 2)  # so that one running maximum serves all owners
+    reach = np.maximum.accumulate(end + base)
+    new = np.concatenate([[True], begin[1:] + base[1:] > reach[:-1]])
+    at = np.flatnonzero(new)
+    return owner[at], begin[at], np.maximum.reduceat(end, at)
+
+
+def matches(docs: np.ndarray, begins: np.ndarray, segments: list[str], least: int, name: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Findings (doc, begin, end, set) of segments of records: the merged intervals of at least ``least`` characters that another record's segments hold (set -1), and the sets of records that share a window of that length (begin and end -1).
+
+    All segments are indexed, then streamed from their ends. Places whose windows are equal have one class; classes
+    with the same records are one set, named by ``name`` and a number.
     """
-    block = least // 2
-    lengths = np.array([len(s) for s in segments], dtype=np.int64)
-    starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-    raw = codepoints("\0".join(segments) + "\0").astype(np.int64)
-    separators = starts + lengths
-    alphabet, codes = np.unique(np.delete(raw, separators), return_inverse=True)
-    dense = np.zeros(len(raw), dtype=np.int64)
-    dense[np.delete(np.arange(len(raw)), separators)] = codes + 1
-    dense[separators] = SEPARATOR
-    skipped = -begins % block
-    counts = np.maximum(0, (lengths - skipped) // block)
-    owner = np.repeat(np.arange(len(segments)), counts)
-    nth = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = starts[owner] + skipped[owner] + nth * block
-    none = [np.zeros(0, dtype=np.int64)] * 4
-    if not len(at):
+    none = tuple(np.zeros(0, dtype=np.int64) for _ in range(4))
+    if not len(segments):
+        return none
+    own = Streamed(segments)
+    index = FMIndex(own.codes, np.repeat(docs, own.lengths + 1), int(own.lengths.max()))
+    of, place, length, low = index.statistics(own.codes, own.starts, own.lengths, least)
+    if not len(of):
         return none
-    index = FMIndex(dense, block)
-    low, high = index.search(dense[at[:, None] + np.arange(block)])
-    shared = np.flatnonzero(high - low > 1)
-    widths = (high - low)[shared]
-    parts = []
-    for of in np.split(np.arange(len(shared)), np.flatnonzero(np.diff(np.cumsum(widths) // HITS)) + 1):
-        w = widths[of]
-        query = np.repeat(at[shared[of]], w)
-        hit = index.order[np.repeat(low[shared[of]], w) + np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)]
-        mine, theirs = np.searchsorted(starts, query, side="right") - 1, np.searchsorted(starts, hit, side="right") - 1
-        other = docs[mine] != docs[theirs]
-        query, hit, mine, theirs = query[other], hit[other], mine[other], theirs[other]
-        left, right = extended(dense, query, hit, block)
-        long = left + right >= least
-        begin = begins[mine[long]] + (query - left)[long] - starts[mine[long]]
-        parts.append(np.unique(np.stack([docs[mine[long]], docs[theirs[long]], begin, begin + (left + right)[long]], axis=1), axis=0))
-    rows = np.unique(np.concatenate(parts), axis=0) if parts else np.zeros((0, 4), dtype=np.int64)
-    return [rows[:, i] for i in range(4)]
-
-
-def extended(codes: np.ndarray, a: np.ndarray, b: np.ndarray, known: int) -> tuple[np.ndarray, np.ndarray]:
-    """How far codes agree left of a and b and from a and b on, SEPARATOR agreeing with nothing; ``known`` codes on are known to agree."""
-    left, right = np.zeros(len(a), dtype=np.int64), np.full(len(a), known, dtype=np.int64)
-    for reach, sign in ((left, -1), (right, 1)):
-        live = np.arange(len(a))
-        while len(live):
-            step = reach[live] if sign > 0 else -reach[live] - 1
-            x, y = a[live] + step, b[live] + step
-            sound = (x >= 0) & (y >= 0)
-            same = sound & (codes[x] == codes[y]) & (codes[x] != SEPARATOR)
-            live = live[same]
-            reach[live] += 1
-    return left, right
-
-
-def _sharding(least: int) -> Callable[[pa.Table], pa.Table]:
-    def run(shard: pa.Table) -> pa.Table:
+    doc = docs[of]
+    at = begins[of] + place
+    spans = islands(doc, at, at + length)
+    pairs = np.unique(np.stack([index.classes(least)[low], doc], axis=1), axis=0)
+    members, sets = distinct_sets(pairs[:, 0], pairs[:, 1])
+    gone = np.full(len(members), -1, dtype=np.int64)
+    return tuple(np.concatenate(x) for x in ((spans[0], members), (spans[1], gone), (spans[2], gone), (np.full(len(spans[0]), -1, dtype=np.int64), (np.int64(name) << 32) + sets)))
+
+
+def distinct_sets(classes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, number of its set) of the distinct sets of records among ``classes``; both sorted by class, then doc."""
+    starts = np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]]))
+    sizes = np.diff(np.concatenate([starts, [len(classes)]]))
+    seen: dict[bytes, int] = {}
+    members, numbers = [], []
+    for b, n in zip(starts.tolist(), sizes.tolist()):
+        key = docs[b : b + n].tobytes()
+        if key not in seen:
+            seen[key] = len(seen)
+            members.append(docs[b : b + n])
+            numbers.append(np.full(n, seen[key], dtype=np.int64))
+    return np.concatenate(members), np.concatenate(numbers)
+
+
+def _findings(doc: np.ndarray, begin: np.ndarray, end: np.ndarray, sets: np.ndarray) -> pa.Table:
+    some = lambda x, kind: pa.array(x, kind, mask=x < 0) if len(x) else pa.array([], kind)
+    return pa.table([pa.array(doc, pa.int64()), some(begin, pa.int32()), some(end, pa.int32()), pa.array(sets, pa.int64(), mask=sets == -1)], names=FINDING_SCHEMA.names)
+
+
+def _sharding(least: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    def run(key: tuple, shard: pa.Table) -> pa.Table:
         doc, begin = shard.column("doc_id").to_numpy(), shard.column("begin").to_numpy().astype(np.int64)
-        found = matches(doc, begin, shard.column("segment").to_pylist(), least)
-        return pa.table([pa.array(c, kind) for c, kind in zip(found, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=MATCH_SCHEMA.names)
+        return _findings(*matches(doc, begin, shard.column("segment").to_pylist(), least, key[0].as_py()))
 
     return run
 
 
-WINDOW_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("window", T.LongType()), T.StructField("begin", T.IntegerType())])
+WINDOW_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("window", T.LongType()), T.StructField("begin", T.IntegerType()), T.StructField("text", T.StringType())])
 
 
 def _windowing(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Every window of ``least`` characters of the segments with its hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, begins, hashes = [], [], []
             for doc, begin, segment in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 h = gram_hashes(codepoints(segment), least).view(np.int64)
-                docs.append(np.full(len(h), doc))
-                hashes.append(h)
-                begins.append(begin + np.arange(len(h)))
-            arrays = [np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (docs, hashes, begins)]
-            yield pa.RecordBatch.from_arrays([pa.array(a, kind) for a, kind in zip(arrays, (pa.int64(), pa.int64(), pa.int32()))], names=WINDOW_SCHEMA.names)
+                at = np.arange(len(h))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), doc), pa.int64()), pa.array(h), pa.array(begin + at, pa.int32()), pa.array([segment[i : i + least] for i in at.tolist()], pa.string())], names=WINDOW_SCHEMA.names)
+
+    return run
+
+
+def _verifying(least: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    """Windows (right) streamed against the index of one window of each hash (left): those found are equal to it, and not only by hash."""
+
+    def run(key: tuple, indexed: pa.Table, streamed: pa.Table) -> pa.Table:
+        empty = pa.table([pa.array([], f) for f in (pa.int64(), pa.int32(), pa.int32(), pa.int64())], names=FINDING_SCHEMA.names)
+        if not indexed.num_rows or not streamed.num_rows:
+            return empty
+        left = dict(zip(indexed.column("window").to_pylist(), indexed.column("text").to_pylist()))
+        own = Streamed(list(left.values()))
+        index = FMIndex(own.codes, np.repeat(np.arange(len(left)), own.lengths + 1), least)
+        texts = streamed.column("text").to_pylist()
+        raw = codepoints("".join(texts)).astype(np.int64).reshape(-1, least)
+        at = np.minimum(np.searchsorted(own.alphabet, raw), len(own.alphabet) - 1)
+        known = (own.alphabet[at] == raw).all(axis=1)
+        low, high = index.search(at + 1)
+        mine = {w: c for w, c in zip(left, index.classes(least)[index.search(own.codes[own.starts[:, None] + np.arange(least)])[0]].tolist())}
+        of = index.classes(least)[np.minimum(low, index.n - 1)]
+        window = streamed.column("window").to_pylist()
+        equal = np.flatnonzero(known & (high > low) & (of == np.array([mine.get(w, -1) for w in window])))
+        doc, begin = streamed.column("doc_id").to_numpy()[equal], streamed.column("begin").to_numpy().astype(np.int64)[equal]
+        return _findings(doc, begin, begin + least, np.array(window, dtype=np.int64)[equal])
 
     return run
 
@@ -283,14 +323,13 @@ class Shared:
     """Spans of at least ``least`` characters that different records of ``documents`` (doc_id bigint, text) share.
 
     ``members``: (doc_id, rep, n_chars, copies) of the texts long enough; identical texts have one representative and
-    are compared once. ``matches``: (doc_id, other_id, begin, end) between representatives, both ways. ``windows``:
-    (doc_id, window, begin), the hot rest: windows of exactly ``least`` characters around anchors at more than HOT
-    places of different texts, of those that several texts hold; aggregated by hash in each task before the shuffle, so no task holds a
-    hot group. Null and shorter texts share nothing. Ids must be unique.
+    are compared once. ``found``: (doc_id, begin, end, set_id) of representatives: rows without set_id are merged
+    shared intervals, rows without begin say that the text belongs to a set of texts that share a window; texts are
+    linked when they share a set, and no pair is listed before ``pairs``. Rows with both come from split anchors. Null
+    and shorter texts share nothing. Ids must be unique.
     """
 
-    def __init__(self, documents: DataFrame, least: int, k: int = ANCHOR, hot: int = HOT):
-        spark = documents.sparkSession
+    def __init__(self, documents: DataFrame, least: int, k: int = ANCHOR, hot: int = HOT, shard: int = SHARD, sent: int = SENT):
         rows = documents.select("doc_id", "text")
         anchored = cut(rows.mapInArrow(_anchoring(least, k), FOUND_SCHEMA))
         reps = anchored.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
@@ -299,23 +338,37 @@ class Shared:
         places = own.select("doc_id", F.explode(F.arrays_zip(F.col("anchors").alias("anchor"), F.col("places").alias("place"))).alias("x")).select("doc_id", "x.anchor", "x.place")
         held = places.groupBy("anchor").agg(F.min("doc_id").alias("__low"), F.max("doc_id").alias("__high"), F.count(F.lit(1)).alias("__n")).filter("__low < __high")
         met = places.join(held.select("anchor", (F.col("__n") > hot).alias("is_hot")), "anchor")
-        listed = met.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", "is_hot")).alias("listed"))  # of one text
-        segments = cut(rows.join(listed, "doc_id").select("doc_id", "text", "listed").mapInArrow(_segmenting(least, k), SEGMENT_SCHEMA))
-        cold, warm = segments.filter(~F.col("is_hot")), segments.filter("is_hot")
-        shards = max(1, -(-cold.count() // SHARD))
-        sharded = cold.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-        self.matches = cut(sharded.groupBy("shard").applyInArrow(_sharding(least), MATCH_SCHEMA))
-        windows = warm.select("doc_id", "begin", "segment").mapInArrow(_windowing(least), WINDOW_SCHEMA)
-        several = windows.groupBy("window").agg(F.min("doc_id").alias("__low"), F.max("doc_id").alias("__high")).filter("__low < __high").select("window")
-        self.windows = cut(windows.join(several, "window").select("doc_id", "window", "begin").distinct()) if warm.limit(1).count() else spark.createDataFrame([], WINDOW_SCHEMA)
-        self.least = least
+        listed = cut(met.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", "is_hot")).alias("listed")))  # of one text
+        sizes = listed.select(F.explode("listed.is_hot").alias("h")).agg(F.count(F.lit(1)), F.count_if("h")).first()
+        segments = rows.join(F.broadcast(listed) if sizes[0] <= sent else listed, "doc_id").select("doc_id", "text", "listed").mapInArrow(_segmenting(least, k), SEGMENT_SCHEMA)
+        shards = max(1, -(-(sizes[0] - sizes[1]) // shard))
+        cold = segments.filter(~F.col("is_hot")).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+        found = cold.groupBy("shard").applyInArrow(_sharding(least), FINDING_SCHEMA)
+        self.found = cut(found.unionByName(self._split(segments.filter("is_hot"), least, shard)) if sizes[1] else found)
+
+    def _split(self, segments: DataFrame, least: int, shard: int) -> DataFrame:
+        """The findings of split anchors. One window of each hash that several texts hold, pre-aggregated in each task, is indexed; all windows are streamed against the index of their hash's shard, dealt to as many parts as they need."""
+        windows = cut(segments.select("doc_id", "begin", "segment").mapInArrow(_windowing(least), WINDOW_SCHEMA).select("doc_id", "window", "begin").distinct())
+        texts = segments.select("doc_id", "begin", "segment").mapInArrow(_windowing(least), WINDOW_SCHEMA)
+        several = windows.groupBy("window").agg(F.min("doc_id").alias("__low"), F.max("doc_id").alias("__high"), F.count(F.lit(1)).alias("n")).filter("__low < __high")
+        several = cut(several.select("window", "n"))
+        kinds, most = several.agg(F.count(F.lit(1)), F.coalesce(F.max("n"), F.lit(0))).first()
+        n_shards, parts = max(1, -(-kinds // shard)), max(1, -(-most // shard))
+        to_shard = F.pmod(F.xxhash64("window"), F.lit(n_shards)).alias("shard")
+        held = texts.join(several.select("window"), "window")
+        # names of their own, as both sides come from the same windows
+        indexed = held.groupBy("window").agg(F.min("text").alias("text")).select(to_shard, F.col("window").alias("window"), "text", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+        streamed = held.select(to_shard, "window", "text", "doc_id", "begin", F.pmod(F.xxhash64("doc_id", "begin"), F.lit(parts)).cast("int").alias("part"))
+        return indexed.groupBy("shard", "part").cogroup(streamed.groupBy("shard", "part")).applyInArrow(_verifying(least), FINDING_SCHEMA)
+
+    def sets(self) -> DataFrame:
+        """(set_id, doc_id): which texts share a window."""
+        return self.found.filter(F.col("set_id").isNotNull()).select("set_id", "doc_id").distinct()
 
     def rep_pairs(self) -> DataFrame:
         """(a, b), a < b: different texts that share a span."""
-        held = self.windows.select("doc_id", "window").distinct()
-        first, second = held.select(F.col("doc_id").alias("a"), "window"), held.select(F.col("doc_id").alias("b"), "window")
-        hot = first.join(second, "window").filter("a < b").select("a", "b")
-        return self.matches.filter("doc_id < other_id").select(F.col("doc_id").alias("a"), F.col("other_id").alias("b")).unionByName(hot).distinct()
+        first, second = self.sets().withColumnRenamed("doc_id", "a"), self.sets().withColumnRenamed("doc_id", "b")
+        return first.join(second, "set_id").filter("a < b").select("a", "b").distinct()
 
     def pairs(self) -> DataFrame:
         """(doc_id_a, doc_id_b), the smaller first: every pair of records that share a span, copies included."""
@@ -327,10 +380,9 @@ class Shared:
         return between.unionByName(within).select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
 
     def spans(self) -> DataFrame:
-        """(rep, begin, end): the merged shared intervals of each text."""
-        hot = self.windows.select("doc_id", "begin", (F.col("begin") + self.least).alias("end"))
+        """(rep, begin, end): the merged shared intervals of each text. The intervals of one text are merged in one task, some at each of its anchors."""
         whole = self.members.filter("doc_id = rep and copies > 1").select("doc_id", F.lit(0).alias("begin"), F.col("n_chars").cast("int").alias("end"))
-        each = self.matches.select("doc_id", "begin", "end").unionByName(hot).unionByName(whole).distinct()
+        each = self.found.filter(F.col("begin").isNotNull()).select("doc_id", "begin", "end").unionByName(whole).distinct()
         ahead = Window.partitionBy("doc_id").orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1)
         opened = each.withColumn("__new", (F.col("begin") > F.coalesce(F.max("end").over(ahead), F.lit(-1))).cast("int"))
         running = Window.partitionBy("doc_id").orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, 0)
@@ -343,16 +395,17 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document: class_id of its text (the smallest doc_id with it), characters, shared characters, their share, spans, the longest, and linked texts."""
+    """One row per document: class_id of its text (the smallest doc_id with it), copies of it, characters, shared characters, their share, spans, the longest, and how many texts hold the window of it that most texts hold (1 for none other). No pair of documents is listed."""
     least, _ = limits(spark, sf_dir, "shared_span_min")
     documents = table(spark, sf_dir, "documents")
     shared = Shared(documents, least)
     counted = shared.spans().groupBy("rep").agg(F.sum(F.col("end") - F.col("begin")).alias("n_shared"), F.count(F.lit(1)).alias("n_spans"), F.max(F.col("end") - F.col("begin")).alias("longest"))
-    both = shared.rep_pairs()
-    links = both.select(F.col("a").alias("rep")).unionByName(both.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("n_linked_texts"))
-    known = shared.members.join(counted, "rep", "left").join(links, "rep", "left").select("doc_id", "rep", "copies", "n_shared", "n_spans", "longest", "n_linked_texts")
+    sizes = shared.sets().groupBy("set_id").agg(F.count(F.lit(1)).alias("n"))
+    widest = shared.sets().join(sizes, "set_id").groupBy(F.col("doc_id").alias("rep")).agg(F.max("n").alias("most_texts"))
+    known = shared.members.join(counted, "rep", "left").join(widest, "rep", "left").select("doc_id", "rep", "copies", "n_shared", "n_spans", "longest", "most_texts")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     size = F.coalesce(F.length("text"), F.lit(0)).cast("long")
     return documents.select("doc_id", size.alias("n_chars")).join(known, "doc_id", "left").select(
-        "doc_id", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "n_chars", zero("n_shared"), F.round(F.when(F.col("n_shared") > 0, F.col("n_shared") / F.col("n_chars")).otherwise(0.0), 6).alias("shared_share"), zero("n_spans"), zero("longest"), zero("n_linked_texts")
+        "doc_id", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "n_chars", zero("n_shared"), F.round(F.when(F.col("n_shared") > 0, F.col("n_shared") / F.col("n_chars")).otherwise(0.0), 6).alias("shared_share"), zero("n_spans"), zero("longest"),
+        F.coalesce("most_texts", F.lit(1)).cast("long").alias("most_texts"),
     )

@@ -239,26 +239,54 @@ def test_token_counts(spark):
 
 
 # problem 9
+def coded(texts):
+    own = spans.Streamed(texts)
+    return own.codes, own.starts, own.lengths
+
+
 def test_fm_index_finds_all():
     random.seed(9)
     for text in ["".join(random.choice("abc") for _ in range(500)), "a" * 300, "ab" * 200]:
-        codes = np.array([ord(c) - 96 for c in text] + [0])
-        index = FMIndex(codes, 12)
-        patterns = np.array([codes[i : i + 12] for i in range(0, len(text) - 12, 7)])
-        low, high = index.search(patterns)
-        for p, a, b in zip(patterns, low, high):
-            s = "".join(chr(c + 96) for c in p)
-            assert sorted(index.order[a:b]) == [i for i in range(len(text)) if text.startswith(s, i)]
-
-
-def test_shared_spans_equal_brute_force(spark):
+        codes, _, _ = coded([text])
+        index = FMIndex(codes, np.zeros(len(codes), dtype=np.int64), 500)
+        starts = list(range(0, len(text) - 12, 7))
+        low, high = index.search(np.array([codes[i : i + 12] for i in starts]))
+        assert [h - l for l, h in zip(low, high)] == [sum(text.startswith(text[i : i + 12], j) for j in range(len(text))) for i in starts]
+
+
+def test_matching_statistics_equal_brute_force():
+    random.seed(2)
+    for trial in range(150):
+        texts = ["".join(random.choice("ab" if trial % 2 else "abc") for _ in range(random.randint(0, 40))) for _ in range(random.randint(1, 8))]
+        texts += [texts[0]] * (trial % 3)
+        owner, least = np.array([random.randrange(4) for _ in texts]), random.randint(1, 6)
+        codes, starts, lengths = coded(texts)
+        index = FMIndex(codes, np.repeat(owner, lengths + 1), max(lengths.max(), 1))
+        of, place, length, low = (x.tolist() for x in index.statistics(codes, starts, lengths, least))
+        want = {}
+        for i, t in enumerate(texts):
+            for j in range(len(t)):
+                m = 0
+                while j + m < len(t) and any(t[j : j + m + 1] in u for k, u in enumerate(texts) if owner[k] != owner[i]):
+                    m += 1
+                if m >= least:
+                    want[i, j] = m
+        assert dict(zip(zip(of, place), length)) == want
+        windows = collections.defaultdict(set)
+        for i, j, c in zip(of, place, index.classes(least)[low].tolist()):
+            windows[c].add(texts[i][j : j + least])
+        assert all(len(w) == 1 for w in windows.values()) and len({w for x in windows.values() for w in x}) == len(windows)
+
+
+@pytest.mark.parametrize("hot, sent, shard", [(spans.HOT, spans.SENT, 40), (20, 0, 1000)])
+def test_shared_spans_equal_brute_force(spark, hot, sent, shard):
     random.seed(4)
     base = "".join(random.choice("कखगघ चछज") for _ in range(500))
     docs = {1: "a" * 5000, 2: "b" + "a" * 3000, 3: "ab" * 2000, 4: "xyz" + "ab" * 300 + "q", 101: "", 102: None, 103: "short"}
     for i in range(60):
         docs[10 + i] = "".join(random.choice("पफबभम") for _ in range(random.randint(0, 300))) + base[: random.randint(150, 500)] + "तथदध" * 25
     docs[100] = docs[10]
-    shared = spans.Shared(spark.createDataFrame([(i, t, 0) for i, t in docs.items()], "doc_id long, text string, rep int"), 200)
+    shared = spans.Shared(spark.createDataFrame([(i, t, 0) for i, t in docs.items()], "doc_id long, text string, rep int"), 200, hot=hot, sent=sent, shard=shard)
     owners, covered = collections.defaultdict(set), {}
     for i, t in docs.items():
         for p in range(len(t or "") - 199):
