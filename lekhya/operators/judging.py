@@ -72,6 +72,15 @@ def valid_answers(rows: DataFrame) -> DataFrame:
     return rows.filter(~out & (answer != "") & ~F.upper(answer).startswith("ERROR"))
 
 
+def done_in_all(results: list[DataFrame]) -> DataFrame:
+    """(id): questions with a score in each of the result tables, one a metric."""
+    scored = [r.filter("score is not null").select(F.col("question_id").alias("id")).distinct() for r in results]
+    done = scored[0]
+    for one in scored[1:]:
+        done = done.join(one, "id", "left_semi")
+    return done
+
+
 # Prompts of ours; any template with the same fields can take their place.
 PROMPTS = {
     "correctness": "Question:\n{question}\n\nReference answer:\n{ground_truth}\n\nAnswer:\n{generated_answer}\n\nScore 0 to 1 as JSON.",

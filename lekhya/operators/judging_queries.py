@@ -51,6 +51,7 @@ def legacy_indices(t):
 
 _NORM = spaced("coalesce(generated_answer, '')")
 _REF = "|".join(judging.REFUSALS)
+_OUT = "(answerability = 'out_of_scope' OR category = 'out_of_scope')"
 _MORE = "|".join([*judging.REFUSALS, *judging.MORE_REFUSALS]).replace("'", "''")
 
 
@@ -60,13 +61,27 @@ def refusal_flags(t):
     return t("correctness_results").select("result_id", judging.refuses(a, judging.REFUSALS).alias("is_refusal"), judging.refuses(a, [*judging.REFUSALS, *judging.MORE_REFUSALS]).alias("is_refusal_extended"))
 
 
-@query(f"""
+def _compliance(pattern: str, where: str) -> str:
+    return f"""
 SELECT CASE WHEN grouping(split) = 1 THEN 'combined' ELSE split END AS scope, count(*) AS n, count(*) FILTER (WHERE refused) AS n_refused, round_even(avg(refused::INT), 4) AS rate FROM (
-  SELECT split, n <> '' AND NOT starts_with(n, 'error') AND regexp_matches(n, '(?i){_MORE}') AS refused FROM (SELECT split, {_NORM} AS n FROM {JC} WHERE category = 'out_of_scope')) GROUP BY GROUPING SETS ((split), ())""")
+  SELECT split, n <> '' AND NOT starts_with(n, 'error') AND regexp_matches(n, '(?i){pattern}') AS refused FROM (SELECT split, {_NORM} AS n FROM {JC} WHERE {where})) GROUP BY GROUPING SETS ((split), ())"""
+
+
+def compliance(t, patterns, out):
+    rows = judged(t, "correctness_results").filter(out).withColumn("refused", judging.refuses(F.col("generated_answer"), patterns))
+    return metrics.by_scope(rows, "split", {"n": F.count(F.lit(1)), "n_refused": F.count_if("refused"), "rate": F.bround(F.avg(F.col("refused").cast("int")), 4)}).filter("n > 0")
+
+
+@query(f"SELECT * FROM ({_compliance(_REF, _OUT)}) WHERE n > 0")
 def refusal_compliance(t):
-    """Refusals among the answers to out-of-scope items, by split and over all."""
-    rows = judged(t, "correctness_results").filter("category = 'out_of_scope'").withColumn("refused", judging.refuses(F.col("generated_answer"), [*judging.REFUSALS, *judging.MORE_REFUSALS]))
-    return metrics.by_scope(rows, "split", {"n": F.count(F.lit(1)), "n_refused": F.count_if("refused"), "rate": F.bround(F.avg(F.col("refused").cast("int")), 4)})
+    """Refusals by the fixed patterns among the answers to items that answerability or category puts out of scope, by split and over all."""
+    return compliance(t, judging.REFUSALS, _OUT)
+
+
+@query(f"SELECT * FROM ({_compliance(_MORE, _OUT)}) WHERE n > 0")
+def refusal_compliance_extended(t):
+    """The same by the fixed patterns and ours."""
+    return compliance(t, [*judging.REFUSALS, *judging.MORE_REFUSALS], _OUT)
 
 
 _VALID = "NOT (coalesce(category, '') = 'out_of_scope' OR coalesce(answerability, '') = 'out_of_scope') AND trim(coalesce(generated_answer, '')) <> '' AND NOT starts_with(upper(trim(coalesce(generated_answer, ''))), 'ERROR')"
@@ -106,14 +121,20 @@ def judged_by_stub(t):
     return replies.select("result_id", judging.parsed(F.col("reply")).alias("p"), "error").select("result_id", judging.snapped(F.col("p.score")).alias("score"), F.col("p.state").alias("state"), "error")
 
 
-@query("SELECT DISTINCT id FROM eval_items WHERE id NOT IN (SELECT question_id FROM correctness_results WHERE score IS NOT NULL INTERSECT SELECT question_id FROM groundedness_results WHERE score IS NOT NULL)")
-def resume_anti_join(t):
-    """Items still to judge: those not done in every metric."""
-    done = lambda name: t(name).filter("score is not null").select(F.col("question_id").alias("id"))
-    return t("eval_items").select("id").distinct().join(done("correctness_results").intersect(done("groundedness_results")), "id", "left_anti")
+#: Tables of judged results, a metric each; as many as there are.
+METRIC_TABLES = ("correctness_results", "groundedness_results")
+
+
+@query("SELECT DISTINCT id FROM eval_items WHERE category IS DISTINCT FROM 'out_of_scope' AND id NOT IN (SELECT question_id FROM correctness_results WHERE score IS NOT NULL INTERSECT SELECT question_id FROM groundedness_results WHERE score IS NOT NULL)")
+def resume_anti_join(t, tables=METRIC_TABLES):
+    """Items in scope still to judge: those not done in every metric of ``tables``."""
+    items = t("eval_items").filter(F.coalesce("category", F.lit("")) != "out_of_scope").select("id").distinct()
+    return items.join(judging.done_in_all([t(name) for name in tables]), "id", "left_anti")
 
 
-@query("SELECT r.result_id, e.category, e.difficulty FROM correctness_results r LEFT JOIN (SELECT DISTINCT id, category, difficulty FROM eval_items) e ON e.id = r.question_id")
+@query("SELECT r.result_id, e.category, e.difficulty FROM correctness_results r LEFT JOIN (SELECT DISTINCT ON (id) id, category, difficulty FROM eval_items ORDER BY id, created_at DESC NULLS LAST, category DESC NULLS LAST, difficulty DESC NULLS LAST) e ON e.id = r.question_id")
 def result_item_lookup(t):
-    items = t("eval_items").select(F.col("id").alias("question_id"), "category", "difficulty").distinct()
+    """Facts of each result's item, of an id's rows the one made last (of rows made at once the greatest), as a later one replaces an earlier one."""
+    order = F.struct(F.col("created_at").isNotNull(), "created_at", F.col("category").isNotNull(), "category", F.col("difficulty").isNotNull(), "difficulty")
+    items = t("eval_items").groupBy(F.col("id").alias("question_id")).agg(F.max_by(F.struct("category", "difficulty"), order).alias("f")).select("question_id", "f.*")
     return t("correctness_results").join(items, "question_id", "left").select("result_id", "category", "difficulty")

@@ -10,8 +10,11 @@ from lekhya.operators.registry import query
 from lekhya.operators.text_queries import number
 
 BASE = "(SELECT DISTINCT id, coalesce(nullif(split, ''), 'unassigned') AS split FROM eval_items)"
-QUALIFIED = f"(SELECT DISTINCT id, s.source AS source, {number('s.dafa')} AS number FROM (SELECT id, unnest(required_sections) AS s FROM eval_items) WHERE coalesce(s.source, '') <> '' AND coalesce(s.dafa, '') <> '')"
-WANTED = f"(SELECT * FROM {QUALIFIED} UNION ALL SELECT DISTINCT id, NULL AS source, {number('d')} AS number FROM (SELECT id, unnest(required_dafas) AS d FROM eval_items) WHERE coalesce(d, '') <> '' AND id NOT IN (SELECT id FROM {QUALIFIED}))"
+# written from the reference: source of the item, else the key of its metadata's display name; 'both', blank and unknown require none
+REQUIRED = "(SELECT DISTINCT id, CASE WHEN coalesce(source, '') <> '' THEN nullif(source, 'both') ELSE (SELECT min(r.source) FROM corpus_registry r WHERE r.act_name = e.metadata.source) END AS required FROM eval_items e)"
+ASKING = "(SELECT * FROM eval_items WHERE category IS DISTINCT FROM 'out_of_scope' AND answerability IS DISTINCT FROM 'out_of_scope')"
+QUALIFIED = f"(SELECT DISTINCT id, s.source AS source, {number('s.dafa')} AS number FROM (SELECT id, unnest(required_sections) AS s FROM {ASKING}) WHERE coalesce(s.source, '') <> '' AND coalesce(s.dafa, '') <> '')"
+WANTED = f"(SELECT * FROM {QUALIFIED} UNION ALL SELECT b.id, q.required AS source, b.number FROM (SELECT DISTINCT id, {number('d')} AS number FROM (SELECT id, unnest(required_dafas) AS d FROM {ASKING}) WHERE coalesce(d, '') <> '') b JOIN {REQUIRED} q USING (id) WHERE b.id NOT IN (SELECT id FROM {QUALIFIED}))"
 LISTED = "(SELECT question_id, rank, chunk_id, dafa, metadata.source AS source FROM (SELECT *, row_number() OVER (PARTITION BY question_id, rank ORDER BY search_id) AS n FROM search_results WHERE rank <= 5) WHERE n = 1)"
 RETRIEVED = f"(SELECT DISTINCT id, rank, source, {number('coalesce(d, chr(32))')} AS number FROM (SELECT r.question_id AS id, r.rank, coalesce(r.source, c.source) AS source, unnest(CASE WHEN len(c.dafa_list) > 0 THEN c.dafa_list ELSE [r.dafa] END) AS d FROM {LISTED} r LEFT JOIN chunks c USING (chunk_id)))"
 PER_QUESTION = f"""
@@ -37,7 +40,7 @@ def questions_rated(t):
     labels = F.when(F.size("dafa_list") > 0, F.col("dafa_list")).otherwise(F.array("dafa"))
     each = listed.select("question_id", "rank", "chunk_id", "dafa", F.col("metadata.source").alias("own")).join(chunks, "chunk_id", "left")
     retrieved = each.select(F.col("question_id").alias("id"), "rank", F.coalesce("own", "chunk_source").alias("source"), F.explode(labels).alias("d")).select("id", "rank", "source", tx.section_number(F.coalesce("d", F.lit(" "))).alias("number")).distinct()
-    return metrics.per_question(items, metrics.targets(t("eval_items")), retrieved)
+    return metrics.per_question(items, metrics.targets(t("eval_items"), metrics.required_source(t("eval_items"), t("corpus_registry"))), retrieved)
 
 
 @query(f"WITH {PER_QUESTION} SELECT * FROM pq")
@@ -77,16 +80,14 @@ def cross_strategy_metrics(t):
     return moded.join(questions_rated(t), "id").groupBy("mode").agg(*(metrics.mean(c).alias(c) for c in metrics.NAMES), F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT DISTINCT id, CASE WHEN coalesce(metadata.source, '') IN ('', 'both') THEN NULL ELSE coalesce(r.source, metadata.source) END AS required_source FROM eval_items e LEFT JOIN corpus_registry r ON r.act_name = e.metadata.source")
+@query(f"SELECT id, required AS required_source FROM {REQUIRED}")
 def required_source(t):
-    """The source key an item requires: none for null, empty and ``both``; a display name is mapped to its key."""
-    names = t("corpus_registry").select(F.col("act_name").alias("named"), F.col("source").alias("key"))
-    rows = t("eval_items").select("id", F.col("metadata.source").alias("named")).distinct().join(names, "named", "left")
-    return rows.select("id", F.when(F.coalesce("named", F.lit("")).isin("", "both"), None).otherwise(F.coalesce("key", "named")).alias("required_source")).distinct()
+    """The source key an item requires: the item's own, else that of its metadata's display name; none for ``both``, blanks and unknown names."""
+    return metrics.required_source(t("eval_items"), t("corpus_registry")).withColumnRenamed("required", "required_source")
 
 
 @query(f"""
-WITH {PER_QUESTION}, r AS {RETRIEVED} SELECT m.id, array_to_string(list_sort(list(DISTINCT w.source || ' ' || w.number)), '|') AS covered FROM r m JOIN wanted w ON m.id = w.id AND m.number = w.number AND m.source = w.source GROUP BY m.id""")
+WITH r AS {RETRIEVED}, q AS {QUALIFIED.replace(ASKING, 'eval_items')} SELECT m.id, array_to_string(list_sort(list(DISTINCT w.source || ' ' || w.number)), '|') AS covered FROM r m JOIN q w ON m.id = w.id AND m.number = w.number AND m.source = w.source GROUP BY m.id""")
 def covered_targets(t):
     """The qualified targets that some result of the question covers."""
     listed = top_five(t)
@@ -94,5 +95,5 @@ def covered_targets(t):
     labels = F.when(F.size("dafa_list") > 0, F.col("dafa_list")).otherwise(F.array("dafa"))
     have = listed.select(F.col("question_id").alias("id"), "chunk_id", "dafa", F.col("metadata.source").alias("own")).join(chunks, "chunk_id", "left").select("id", F.coalesce("own", "chunk_source").alias("source"), F.explode(labels).alias("d"))
     numbered = have.select("id", "source", tx.section_number(F.coalesce("d", F.lit(" "))).alias("number")).distinct()
-    met = numbered.join(metrics.targets(t("eval_items")), ["id", "source", "number"])
+    met = numbered.join(metrics.qualified(t("eval_items")), ["id", "source", "number"])
     return met.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set(F.concat("source", F.lit(" "), "number"))), "|").alias("covered"))

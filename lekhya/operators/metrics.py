@@ -15,17 +15,34 @@ def split_label(c: Column) -> Column:
     return F.coalesce(F.nullif(c, F.lit("")), F.lit("unassigned"))
 
 
-def targets(items: DataFrame) -> DataFrame:
-    """(id, source, number) each item asks for: its qualified sections, or its bare labels with a null source when it has none."""
-    qualified = items.select("id", F.explode("required_sections").alias("s")).filter("coalesce(s.source, '') <> '' and coalesce(s.dafa, '') <> ''").select("id", "s.source", tx.section_number(F.col("s.dafa")).alias("number")).distinct()
-    bare = items.select("id", F.explode("required_dafas").alias("d")).filter("coalesce(d, '') <> ''").select("id", F.lit(None).cast("string").alias("source"), tx.section_number(F.col("d")).alias("number")).distinct()
-    return qualified.unionByName(bare.join(qualified.select("id").distinct(), "id", "left_anti"))
+def required_source(items: DataFrame, registry: DataFrame) -> DataFrame:
+    """(id, required): the source key an item requires, ``source`` of the item first and else that of its metadata by display name; none for ``both``, blanks and unknown names."""
+    names = registry.groupBy(F.col("act_name").alias("__named")).agg(F.min("source").alias("__key"))
+    own = items.select("id", F.nullif("source", F.lit("")).alias("__own"), F.col("metadata.source").alias("__named")).distinct().join(names, "__named", "left")
+    told = F.coalesce("__own", "__key")
+    return own.select("id", F.when(told != "both", told).alias("required")).distinct()
+
+
+def qualified(items: DataFrame) -> DataFrame:
+    """(id, source, number): the sections an item asks for with their sources."""
+    listed = items.select("id", F.explode("required_sections").alias("s")).filter("coalesce(s.source, '') <> '' and coalesce(s.dafa, '') <> ''")
+    return listed.select("id", "s.source", tx.section_number(F.col("s.dafa")).alias("number")).distinct()
+
+
+def targets(items: DataFrame, required: DataFrame) -> DataFrame:
+    """(id, source, number) each item asks for: its qualified sections, or, when it has none, its bare labels with the source it requires, null where it requires none. Out-of-scope items ask for nothing."""
+    out = (F.coalesce("category", F.lit("")) == "out_of_scope") | (F.coalesce("answerability", F.lit("")) == "out_of_scope")
+    asking = items.filter(~out)
+    exact = qualified(asking)
+    bare = asking.select("id", F.explode("required_dafas").alias("d")).filter("coalesce(d, '') <> ''").select("id", tx.section_number(F.col("d")).alias("number")).distinct()
+    bare = bare.join(exact.select("id").distinct(), "id", "left_anti").join(required.select("id", F.col("required").alias("source")), "id", "left")
+    return exact.unionByName(bare)
 
 
 def per_question(items: DataFrame, wanted: DataFrame, retrieved: DataFrame) -> DataFrame:
     """hit1, hitk, precisionk, recallk, mrrk and completek of every item, rounded half-even to four digits.
 
-    ``wanted`` (id, source, number), a null source accepting any; ``retrieved`` (id, rank, source, number), one row
+    ``wanted`` (id, source, number), a null source accepting any, another only itself; ``retrieved`` (id, rank, source, number), one row
     per section of a result, already cut at k. Items without targets have nulls and ``skipped``; items with targets
     but without results have zeros. Precision divides by the results returned; recall counts distinct targets.
     """

@@ -119,9 +119,14 @@ def quality_band(t):
     return overall.select("export_source", "overall", band.alias("band"), F.concat(F.repeat(F.lit("#"), cells), F.repeat(F.lit("."), 20 - cells)).alias("bar"))
 
 
-@query(f"SELECT export_source, max(mean) FILTER (WHERE metric = 'correctness') AS correctness, max(mean) FILTER (WHERE metric = 'groundedness') AS groundedness FROM {_MEANS} GROUP BY export_source")
-def strategy_pivot(t):
-    return metric_means(t).groupBy("export_source").pivot("metric", ["correctness", "groundedness"]).agg(F.first("mean"))
+#: Metrics of a run report.
+REPORTED = ("correctness", "groundedness", "relevance", "retrieval_relevance")
+
+
+@query(f"SELECT export_source, max(mean) FILTER (WHERE metric = 'correctness') AS correctness, max(mean) FILTER (WHERE metric = 'groundedness') AS groundedness, max(mean) FILTER (WHERE metric = 'relevance') AS relevance, max(mean) FILTER (WHERE metric = 'retrieval_relevance') AS retrieval_relevance FROM {_MEANS} GROUP BY export_source")
+def strategy_pivot(t, metrics=REPORTED):
+    """Mean of each reported metric by export; null for a metric without results."""
+    return metric_means(t).groupBy("export_source").pivot("metric", list(metrics)).agg(F.first("mean"))
 
 
 @query(f"""SELECT export_source || repeat(' ', 18 - length(export_source)) || ' | ' || coalesce(printf('%.4f', max(mean) FILTER (WHERE metric = 'correctness')), '—') || ' | ' || coalesce(printf('%.4f', max(mean) FILTER (WHERE metric = 'groundedness')), '—') AS line FROM {_MEANS} GROUP BY export_source""")
