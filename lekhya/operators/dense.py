@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lekhya.functions import text as tx
+
 #: Vectors of a block: queries and vectors meet block by block, never row by row.
 BLOCK = 2048
 
@@ -59,22 +62,24 @@ def top_k(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int,
 HASHED_WIDTH = 64
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _slot(term: str) -> tuple[int, float]:
+    digest = hashlib.md5(term.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
+    return digest[0] % HASHED_WIDTH, 1.0 if digest[1] < 128 else -1.0
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for lists in batches:
         out = []
         for words in lists:
-            v = np.zeros(HASHED_WIDTH)
-            for w in words:
-                h = xxhash.xxh3_64_intdigest(w)
-                v[h % HASHED_WIDTH] += 1.0 if h >> 40 & 1 else -1.0
+            slots = [_slot(w) for w in words]
+            v = np.bincount([b for b, _ in slots], weights=[s for _, s in slots], minlength=HASHED_WIDTH) if slots else np.zeros(HASHED_WIDTH)
             n = float(np.sqrt(v @ v))
             out.append(v / n if n else v)
         yield pd.Series(out)
 
 
 def hashed_vector(c: Column) -> Column:
-    """A deterministic stand-in for a text encoder: signed hashed term counts at length one, zero for texts without terms."""
-    from lekhya.functions.text import terms
-
-    return _hashed(terms(c))
+    """A deterministic stand-in for a text encoder: signed term counts at length one, a term's slot and sign by its MD5 sum; zero for null texts and texts without terms."""
+    return _hashed(tx.terms(F.coalesce(c, F.lit(""))))

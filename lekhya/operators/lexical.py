@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,10 @@ BLOCK = 1024
 STOP_WORDS = tuple("र वा को का की के मा ले लाई छ हो पनि भने यो त्यो अनि तथा the of and or a an in is to for".split())
 
 
+#: More words left out by what a question asks for: they say which kind it is, not what it is about.
+CONTEXT_STOP_WORDS = {"section_lookup": tuple("दफा section के कुन which".split()), "definition": tuple("भनेको के हो अर्थ परिभाषा what define definition meaning".split()), "general": tuple("कसरी कहिले how when".split())}
+
+
 def postings(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(term, key, tf): counted in each task before the shuffle."""
     return texts.select(key, F.explode(tx.terms(F.col(text))).alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
@@ -28,9 +33,15 @@ def lengths(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.select(key, F.size(tx.terms(F.col(text))).cast("long").alias("dl"))
 
 
-def query_terms(queries: DataFrame, key: str, text: str, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """(key, term): the distinct terms of each query without stop words."""
-    kept = F.filter(F.array_distinct(tx.terms(F.col(text))), lambda x: ~x.isin(*stop_words))
+def query_terms(queries: DataFrame, key: str, text: str, stop_words: tuple[str, ...] = STOP_WORDS, context: Column | None = None) -> DataFrame:
+    """(key, term): the distinct terms of each query without stop words, and without those of its ``context`` (``CONTEXT_STOP_WORDS``) if one is given."""
+    more = None
+    for name, words in CONTEXT_STOP_WORDS.items() if context is not None else ():
+        more = F.when(context == name, F.array(*map(F.lit, words))) if more is None else more.when(context == name, F.array(*map(F.lit, words)))
+    terms = F.array_distinct(tx.terms(F.col(text)))
+    if more is not None:
+        terms = F.array_except(terms, F.coalesce(more, F.array().cast("array<string>")))
+    kept = F.filter(terms, lambda x: ~x.isin(*stop_words))
     return queries.select(key, F.explode(kept).alias("term")).distinct()
 
 
@@ -57,44 +68,66 @@ def pair_scores(pairs: DataFrame, asked: DataFrame, weights: DataFrame, qkey: st
 def best(asked: DataFrame, weights: DataFrame, qkey: str, key: str, k: int, block: int = BLOCK) -> DataFrame:
     """The k best of each query by score, ties by key, with ``rank`` from 1; only pairs with a common term.
 
-    Blocks of queries meet blocks of texts. A meeting adds the weights of a block's postings query by query and keeps
-    k a query, so frequent terms cost additions in memory, and what is shuffled is k rows per query and block.
+    Blocks of queries meet blocks of texts. A meeting adds the weights of a block's postings for all its queries at once
+    and keeps k a query, so frequent terms cost additions in memory, and what is shuffled is k rows per query and block.
+    The result is exact.
     """
     n_texts, n_queries = (d.select(c).distinct().count() for d, c in ((weights, key), (asked, qkey)))
     salt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(max(1, -(-n // block))))
     texts = weights.groupBy(salt(key, n_texts).alias("b")).agg(F.collect_list(key).alias("keys"), F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights")).drop("b")  # block texts each
-    queries = asked.groupBy(qkey).agg(F.collect_list("term").alias("t")).groupBy(salt(qkey, n_queries).alias("b")).agg(F.collect_list(F.struct(F.col(qkey).alias("id"), "t")).alias("q")).select("q")
+    queries = asked.groupBy(salt(qkey, n_queries).alias("b")).agg(F.collect_list(qkey).alias("ids"), F.collect_list("term").alias("asked")).drop("b")
     kinds = asked.schema[qkey].dataType, weights.schema[key].dataType
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                keys, place = np.unique(np.asarray(batch.column("keys")[i].values), return_inverse=True)
-                terms = batch.column("terms")[i].values.dictionary_encode()
-                order = np.argsort(codes := np.asarray(terms.indices), kind="stable")
-                ends = np.searchsorted(codes[order], np.arange(len(terms.dictionary) + 1))
-                place, weight = place[order], np.asarray(batch.column("weights")[i].values)[order]
-                at = {t: (ends[j], ends[j + 1]) for j, t in enumerate(terms.dictionary.to_pylist())}
-                ids, found, scored = [], [], []
-                for q in batch.column("q")[i].as_py():
-                    total = np.zeros(len(keys))
-                    for t in q["t"]:
-                        if t in at:
-                            low, high = at[t]
-                            total[place[low:high]] += weight[low:high]  # a text holds a term once
-                    hit = np.flatnonzero(total)
-                    s = np.round(total[hit], 6)
-                    kept = np.lexsort((keys[hit], -s))[:k]
-                    ids += [q["id"]] * len(kept)
-                    found.append(hit[kept])
-                    scored.append(s[kept])
-                if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column("q").type.value_type.field("id").type), pa.array(keys[np.concatenate(found)], batch.column("keys").type.value_type), pa.array(np.concatenate(scored))], names=[qkey, key, "score"])
+                ids, keys, scores = met(*(batch.column(c)[i].values for c in ("ids", "asked", "keys", "terms", "weights")), k)
+                if len(scores):
+                    yield pa.RecordBatch.from_arrays([ids, keys, pa.array(scores)], names=[qkey, key, "score"])
 
     schema = T.StructType([T.StructField(qkey, kinds[0]), T.StructField(key, kinds[1]), T.StructField("score", T.DoubleType())])
     return top(queries.crossJoin(texts).mapInArrow(meet, schema), qkey, key, k)  # of blocks
 
 
+#: Cells of the score table a meeting holds at a time.
+CELLS = 1 << 22
+
+
+def met(ids: pa.Array, asked: pa.Array, keys: pa.Array, terms: pa.Array, weights: pa.Array, k: int) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """(query, text, score) of the k best of each query, ties by key: ``ids`` and ``asked`` are the queries' terms, ``keys``, ``terms`` and ``weights`` the postings."""
+    names, query = np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)
+    texts, place = np.unique(np.asarray(keys), return_inverse=True)
+    coded = terms.dictionary_encode()
+    order = np.argsort(codes := np.asarray(coded.indices), kind="stable")
+    ends = np.searchsorted(codes[order], np.arange(len(coded.dictionary) + 1))
+    place, weight = place[order], np.asarray(weights)[order]
+    at = pc.fill_null(pc.index_in(asked, coded.dictionary), -1).to_numpy()
+    query, at = query[at >= 0], at[at >= 0]
+    order = np.argsort(query, kind="stable")
+    query, at = query[order], at[order]
+    rows = max(1, CELLS // max(1, len(texts)))
+    found = []
+    for b in range(0, len(names), rows):
+        low, high = np.searchsorted(query, (b, b + rows))
+        n = min(rows, len(names) - b)
+        width = ends[at[low:high] + 1] - ends[at[low:high]]
+        postings = np.repeat(ends[at[low:high]] - np.cumsum(width) + width, width) + np.arange(width.sum())
+        cells = np.repeat(query[low:high] - b, width) * len(texts) + place[postings]
+        total = np.round(np.bincount(cells, weights=weight[postings], minlength=n * len(texts)), 6).reshape(n, len(texts))
+        if len(texts) > k:
+            kth = np.partition(total, len(texts) - k, axis=1)[:, len(texts) - k]
+            q, t = np.nonzero((total >= kth[:, None]) & (total > 0))
+        else:
+            q, t = np.nonzero(total > 0)
+        s = total[q, t]
+        order = np.lexsort((texts[t], -s, q))
+        q, t, s = q[order], t[order], s[order]
+        first = np.arange(len(q)) - np.searchsorted(q, q) < k
+        found.append((q[first] + b, t[first], s[first]))
+    q, t, s = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    return pa.array(names[q], ids.type), pa.array(texts[t], keys.type), s
+
+
 def top(scored: DataFrame, qkey: str, key: str, k: int, score: str = "score") -> DataFrame:
     """The k best of each query by score, ties by key, with ``rank`` from 1."""
     order = Window.partitionBy(qkey).orderBy(F.desc(score), F.asc(key))

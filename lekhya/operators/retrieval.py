@@ -55,46 +55,64 @@ def seeds(mentions: DataFrame, sections: DataFrame, qkey: str, key: str) -> Data
     return hit.withColumn("score", F.round(F.greatest(F.lit(0.80), 1.0 - 0.05 * F.col("mention_rank")), 6))
 
 
+def variant_specs(plan: DataFrame) -> DataFrame:
+    """(id, variant, forced): what is looked up for each question of ``plan`` (id, question, sources, diversify): its variants, and the question again for each source of a diversified route, whose other results are left out."""
+    told = plan.withColumn("__q", F.coalesce("question", F.lit("")))
+    plain = told.select("id", F.explode(routing.variants(F.col("__q"))).alias("variant"), F.lit(None).cast("string").alias("forced"))
+    conditioned = told.filter("diversify").select("id", F.col("__q").alias("variant"), F.explode("sources").alias("forced"))
+    return plain.unionByName(conditioned).distinct()
+
+
+def planned(questions: DataFrame, mode: str, k: int, n: int) -> DataFrame:
+    """A row per question (id not null, the smallest text of an id): route, constraint, kind, mentioned sections and depth of the search."""
+    asked = questions.filter(F.col("id").isNotNull()).groupBy("id").agg(F.min("question").alias("question"))
+    routed = routing.routes(asked, "id", "question").withColumn("must", routing.constraint(F.lit(mode))).join(asked, "id")
+    text = F.coalesce("question", F.lit(""))
+    told = routed.withColumn("kind", routing.query_type(text)).withColumn("numbers", routing.mentioned_sections(text)).withColumn("diversify", F.col("diversify") & F.lit(mode == "routed_hybrid"))
+    return told.withColumn("depth", search_depth(k, n, F.col("diversify") | F.col("must").isNotNull())).select("id", "question", "kind", "numbers", "must", "depth", "sources", "diversify")
+
+
 def search(questions: DataFrame, chunks: DataFrame, mode: str, k: int = K) -> DataFrame:
     """The whole search of ``questions`` (id, question) over ``chunks`` in one plan: id, rank, chunk_id, source, score.
 
-    Dense candidates use the hashed stand-in vectors. Both candidate lists are cut at the over-fetch depth, scaled
-    over their union, fused, filtered by the source constraint, merged with exact section seeds, and diversified for
-    multi-source routes. Unknown modes raise. Null questions have no keyword candidates; an empty corpus gives no rows.
+    Each variant of a question, and the question for each source of a diversified route, is searched: dense candidates
+    (hashed stand-in vectors) and keyword candidates are cut at the over-fetch depth, scaled over the candidates of that
+    variant, fused, and filtered by source. The best row of a chunk counts, exact section seeds included; multi-source
+    routes are diversified. Unknown modes raise. Null and empty questions have no keyword candidates; an empty corpus
+    gives no rows. Null ids are left out.
     """
     if mode not in routing.MODES:
         raise ValueError(f"unknown retrieval mode: {mode}")
-    n = chunks.count()
-    lit_mode = F.lit(mode)
-    asked = questions.select("id", "question").filter(F.col("id").isNotNull()).dropDuplicates(["id"])
-    routed = routing.routes(asked, "id", "question").withColumn("must", routing.constraint(lit_mode)).join(asked, "id")
-    routed = routed.withColumn("kind", routing.query_type(F.coalesce("question", F.lit("")))).withColumn("numbers", routing.mentioned_sections(F.coalesce("question", F.lit(""))))
-    wide = (F.col("diversify") & (lit_mode == "routed_hybrid")) | F.col("must").isNotNull()
-    plan = routed.withColumn("depth", search_depth(k, n, wide)).select("id", "kind", "numbers", "must", "depth", "sources", (F.col("diversify") & (lit_mode == "routed_hybrid")).alias("diversify"))
+    texts = chunks.withColumn("chunk_id", F.col("chunk_id").cast("long"))
+    n = texts.count()
+    plan = cut(planned(questions.select("id", "question"), mode, k, n))
+    specs = cut(variant_specs(plan).withColumn("qid", F.xxhash64("id", "variant")))
+    asked = cut(specs.select("id", "qid", "variant").distinct().join(plan.select("id", "kind", "depth"), "id"))
     widest = max(1, min(12 * k, n))
-    terms = lexical.query_terms(asked, "id", "question")
-    weights = lexical.weighted(chunks.withColumn("chunk_id", F.col("chunk_id").cast("long")), "chunk_id", "text")
-    ids = asked.select("id", F.xxhash64("id").alias("qid"))
-    vectors = chunks.select(F.col("chunk_id").cast("long").alias("vec"), dense.hashed_vector(F.col("text")).alias("v"))
-    asked_vectors = asked.select(F.xxhash64("id").alias("vec"), dense.hashed_vector(F.col("question")).alias("v"))
-    near = dense.top_k(asked_vectors, vectors, "vec", "v", widest).join(ids, F.col("query_id") == F.col("qid")).select("id", F.col("vec").alias("chunk_id"), F.col("score").alias("cosine"), F.col("rank").alias("r"))
-    near = near.join(plan.select("id", "depth"), "id").filter("r <= depth").select("id", "chunk_id", "cosine")
-    words = lexical.best(terms, weights, "id", "chunk_id", widest).join(plan.select("id", "depth"), "id").filter("rank <= depth").select("id", "chunk_id")
-    pool = near.select("id", "chunk_id") if mode == "faiss_only" else near.select("id", "chunk_id").unionByName(words).distinct()
-    pool = cut(pool)
-    bm = lexical.pair_scores(pool, terms, weights, "id", "chunk_id").withColumnRenamed("score", "bm25")
-    scored = pool.join(near, ["id", "chunk_id"], "left").join(bm, ["id", "chunk_id"], "left")
-    semantic = F.col("cosine") if mode in ("faiss_only", "bm25_only") else F.when(F.col("cosine").isNotNull(), minmax(F.col("cosine"), ["id"]))
-    scaled = scored.withColumn("sem", semantic).withColumn("kw", minmax(F.coalesce("bm25", F.lit(0.0)), ["id"]))
+    near = dense.top_k(asked.select(F.col("qid").alias("vec"), dense.hashed_vector(F.col("variant")).alias("v")), texts.select(F.col("chunk_id").alias("vec"), dense.hashed_vector(F.col("text")).alias("v")), "vec", "v", widest)
+    near = near.select(F.col("query_id").alias("qid"), F.col("vec").alias("chunk_id"), F.col("score").alias("cosine"), "rank")
+    depths = asked.select("qid", "depth")
+    near = cut(near.join(depths, "qid").filter("rank <= depth").select("qid", "chunk_id", "cosine"))
+    if mode == "faiss_only":
+        scored = near.withColumn("bm25", F.lit(0.0))
+    else:
+        weights = cut(lexical.weighted(texts, "chunk_id", "text"))
+        terms = cut(lexical.query_terms(asked, "qid", "variant", context=F.col("kind")))
+        words = lexical.best(terms, weights, "qid", "chunk_id", widest).join(depths, "qid").filter("rank <= depth").select("qid", "chunk_id")
+        pool = cut(near.select("qid", "chunk_id").unionByName(words).distinct())
+        bm = lexical.pair_scores(pool, terms, weights, "qid", "chunk_id").withColumnRenamed("score", "bm25")
+        scored = bm.join(near, ["qid", "chunk_id"], "left")
+    semantic = F.col("cosine") if mode in ("faiss_only", "bm25_only") else F.when(F.col("cosine").isNotNull(), minmax(F.col("cosine"), ["qid"]))
+    scaled = scored.withColumn("sem", semantic).withColumn("kw", minmax(F.col("bm25"), ["qid"]))
     labels = F.when(F.size("dafa_list") > 0, F.col("dafa_list")).otherwise(F.array("dafa"))
-    known = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "source", F.array_distinct(F.transform(labels, tx.section_number)).alias("own"))
-    full = scaled.join(known, "chunk_id").join(plan, "id")
+    known = texts.select("chunk_id", "source", F.array_distinct(F.transform(labels, tx.section_number)).alias("own"))
+    full = scaled.join(known, "chunk_id").join(specs.select("id", "qid", "forced"), "qid").filter(F.col("forced").isNull() | (F.col("source") == F.col("forced"))).join(plan.drop("depth", "question"), "id")
     boost = F.when(F.arrays_overlap("numbers", "own") & F.lit(mode != "faiss_only"), 1.0).otherwise(0.0)
-    fit = full.withColumn("score", fused(lit_mode, F.col("kind"), F.col("sem"), F.col("kw"), boost)).filter(F.col("must").isNull() | (F.col("source") == F.col("must")))
+    fit = full.withColumn("score", fused(F.lit(mode), F.col("kind"), F.col("sem"), F.col("kw"), boost)).filter(F.col("must").isNull() | (F.col("source") == F.col("must")))
     found = fit.select("id", "chunk_id", "source", F.round("score", 6).alias("score"), F.lit(1).alias("origin"))
     if mode in ("hybrid", "routed_hybrid"):
-        mentions = plan.filter("kind = 'section_lookup'").select("id", "must", F.posexplode("numbers").alias("mention_rank", "number"))
-        direct = seeds(mentions.select("id", "mention_rank", "number"), known.select("chunk_id", F.explode("own").alias("number")), "id", "chunk_id").join(known.select("chunk_id", "source"), "chunk_id").join(plan.select("id", "must"), "id")
+        mentions = plan.filter("kind = 'section_lookup'").select("id", F.posexplode("numbers").alias("mention_rank", "number"))
+        direct = seeds(mentions, known.select("chunk_id", F.explode("own").alias("number")), "id", "chunk_id").join(known.select("chunk_id", "source"), "chunk_id").join(plan.select("id", "must"), "id")
         found = found.unionByName(direct.filter(F.col("must").isNull() | (F.col("source") == F.col("must"))).select("id", "chunk_id", "source", "score", F.lit(0).alias("origin")))
     best = merged(found, ["id", "source", "chunk_id"], ["origin"]).join(plan.select("id", "sources", "diversify"), "id")
     n_sources = F.when(F.col("diversify"), F.size("sources")).otherwise(F.lit(1))

@@ -13,6 +13,8 @@ _STOP = ", ".join(f"'{w}'" for w in lexical.STOP_WORDS)
 ITEMS = "(SELECT DISTINCT id, question, source FROM eval_items)"
 POSTINGS = f"(SELECT term, chunk_id, count(*) AS tf FROM (SELECT chunk_id, unnest({terms('text')}) AS term FROM chunks) GROUP BY term, chunk_id)"
 LENGTHS = f"(SELECT chunk_id, CAST(len({terms('text')}) AS BIGINT) AS dl FROM chunks)"
+_TYPE = "CASE WHEN regexp_matches(question, 'दफा\\s*[०-९0-9]+|(?i:section)\\s*[०-९0-9]+') THEN 'section_lookup' WHEN regexp_matches(question, 'परिभाषा|भनेको के|के हो|अर्थ के|(?i:what is)|(?i:define)') THEN 'definition' ELSE 'general' END"
+_CONTEXT = "CASE {kind} " + " ".join("WHEN '%s' THEN ['%s']" % (kind, "', '".join(words)) for kind, words in lexical.CONTEXT_STOP_WORDS.items()) + " END"
 QTERMS = f"(SELECT DISTINCT id, term FROM (SELECT id, unnest({terms('question')}) AS term FROM {ITEMS}) WHERE term NOT IN ({_STOP}))"
 BM25 = f"""
 posted AS {POSTINGS}, sized AS {LENGTHS}, stats AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM sized), df AS (SELECT term, count(*) AS df FROM posted GROUP BY term), asked AS {QTERMS},
@@ -35,9 +37,10 @@ def doc_length_stats(t):
     return sized.join(F.broadcast(sized.agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg("dl"), 6).alias("avgdl"))))
 
 
-@query(f"SELECT id, term FROM {QTERMS}")
+@query(f"SELECT DISTINCT id, term FROM (SELECT id, question, unnest({terms('question')}) AS term FROM {ITEMS}) WHERE term NOT IN ({_STOP}) AND NOT list_contains({_CONTEXT.format(kind=_TYPE)}, term)")
 def stopword_filtered_terms(t):
-    return lexical.query_terms(items(t), "id", "question")
+    """Terms of each question without the stop words of all questions and of its kind."""
+    return lexical.query_terms(items(t), "id", "question", context=routing.query_type(F.col("question")))
 
 
 @query(f"WITH {BM25} SELECT * FROM (SELECT id, chunk_id, score, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM bm) WHERE rank <= 5")
@@ -79,7 +82,6 @@ def first_loaded(t):
     return rows.groupBy("question_id", "chunk_id").agg(F.min_by(F.struct(*(c for c in rows.columns if c not in ("question_id", "chunk_id"))), "search_id").alias("r")).select("question_id", "chunk_id", "r.*")
 
 
-_TYPE = "CASE WHEN regexp_matches(question, 'दफा\\s*[०-९0-9]+|(?i:section)\\s*[०-९0-9]+') THEN 'section_lookup' WHEN regexp_matches(question, 'परिभाषा|भनेको के|के हो|अर्थ के|(?i:what is)|(?i:define)') THEN 'definition' ELSE 'general' END"
 
 
 @query(f"""
@@ -249,10 +251,12 @@ def source_constraint(t):
     return r.select("id", "mode", routing.constraint(F.col("mode")).alias("must"))
 
 
-@query(r"""
-SELECT doc_id, CAST(len(found) AS BIGINT) AS n_sections, array_to_string(found, '|') AS sections FROM (
-  SELECT doc_id, regexp_extract_all(lower(translate(text, '०१२३४५६७८९', '0123456789')), '(?:दफा|section)\s*([0-9]+(?:[क-हa-z]\b|[क-ह](?:[^\x{0900}-\x{0963}]|$))?)', 1) AS every,
-    list_filter(list_transform(every, lambda x: regexp_extract(x, '^[0-9]+[क-हa-z]?', 0)), lambda x, i: list_position(list_transform(every, lambda y: regexp_extract(y, '^[0-9]+[क-हa-z]?', 0)), x) = i) AS found FROM documents)""")
+def _sections_sql(text: str) -> str:
+    every = rf"list_transform(regexp_extract_all(lower(translate({text}, '०१२३४५६७८९', '0123456789')), '(?:दफा|section)\s*([0-9]+(?:[क-हa-z]\b|[क-ह](?:[^\x{{0900}}-\x{{0963}}]|$))?)', 1), lambda x: regexp_extract(x, '^[0-9]+[क-हa-z]?', 0))"
+    return f"list_filter({every}, lambda x, i: list_position({every}, x) = i)"
+
+
+@query(f"SELECT doc_id, CAST(len({_sections_sql('text')}) AS BIGINT) AS n_sections, array_to_string({_sections_sql('text')}, '|') AS sections FROM documents")
 def mentioned_sections(t):
     found = routing.mentioned_sections(F.col("text"))
     return t("documents").select("doc_id", F.size(found).cast("long").alias("n_sections"), F.array_join(found, "|").alias("sections"))
@@ -268,21 +272,74 @@ def query_variants(t):
     return items(t).select("id", F.explode(routing.variants(F.col("question"))).alias("variant")).distinct()
 
 
-@query()
+_FOUND = _sections_sql("question")
+_MD5 = "(SELECT {keys}, ((instr('0123456789abcdef', md5(term)[1]) - 1) * 16 + instr('0123456789abcdef', md5(term)[2]) - 1) % 64 AS slot, sum(CASE WHEN md5(term)[3] < '8' THEN 1 ELSE -1 END) AS w FROM (SELECT {keys}, unnest({terms}) AS term FROM {rows}) GROUP BY {keys}, slot)"
+
+
+def _planned(mode: str) -> str:
+    """Plan and variants of every question as SQL."""
+    return f"""
+it AS (SELECT id, coalesce(min(question), '') AS question FROM eval_items WHERE id IS NOT NULL GROUP BY id),
+rt AS (SELECT *, {_RTYPE} AS route_type FROM {_SCORED.replace(ITEMS, 'it')}),
+plan AS (SELECT id, question, {_TYPE} AS kind, {_FOUND} AS numbers, route_type = 'multi_source' AND {mode == 'routed_hybrid'} AS diversify, CASE WHEN route_type = 'single_source' THEN CASE WHEN m >= 3 THEN ['muluki_ain'] ELSE ['domestic_violence'] END ELSE ['muluki_ain', 'domestic_violence'] END AS sources,
+  CASE WHEN (m >= 100)::INT + (d >= 100)::INT = 1 AND route_type <> 'multi_source' THEN CASE WHEN m >= 100 THEN 'muluki_ain' ELSE 'domestic_violence' END WHEN {mode == 'routed_hybrid'} AND route_type = 'single_source' THEN CASE WHEN m >= 3 THEN 'muluki_ain' ELSE 'domestic_violence' END END AS must FROM it JOIN rt USING (id)),
+specs AS (SELECT DISTINCT id, variant, NULL AS forced FROM (SELECT id, question AS variant FROM plan UNION SELECT id, {_VN} FROM plan UNION SELECT id, regexp_replace({_VN}, '^(?:कृपया[^,]*,|please tell me:|जानकारी पाऊँ:)\\s*', '') FROM plan) UNION ALL SELECT id, question, unnest(sources) FROM plan WHERE diversify)"""
+
+
+def _searched(mode: str) -> str:
+    """The whole search as SQL over all pairs."""
+    depth = f"least((SELECT count(*) FROM chunks), 5 * CASE WHEN diversify OR must IS NOT NULL THEN 12 ELSE 6 END)"
+    semantic = "cosine" if mode in ("faiss_only", "bm25_only") else "CASE WHEN max(cosine) OVER w - min(cosine) OVER w <= 1e-9 THEN 1.0 ELSE (cosine - min(cosine) OVER w) / (max(cosine) OVER w - min(cosine) OVER w) END"
+    alpha = "CASE kind WHEN 'section_lookup' THEN 0.3 WHEN 'definition' THEN 0.6 ELSE 0.55 END"
+    score = {"faiss_only": "coalesce(cosine, 0.0)", "bm25_only": "kw"}.get(mode, f"CASE WHEN kind = 'section_lookup' AND boost > 0 THEN 0.15 * sem + 0.25 * kw + 0.60 ELSE {alpha}::DOUBLE * sem + (1 - {alpha}::DOUBLE) * kw + 0.10 * boost END")
+    pool = "SELECT id, variant, chunk_id FROM near" + ("" if mode == "faiss_only" else " UNION SELECT id, variant, chunk_id FROM words")
+    seeded = "" if mode in ("faiss_only", "bm25_only") else """
+UNION ALL SELECT id, chunk_id, source, score, 0 FROM (SELECT p.id, n.chunk_id, c.source, p.must, round(greatest(0.80::DOUBLE, 1.0::DOUBLE - 0.05::DOUBLE * (min(p.place) - 1)), 6) AS score FROM (SELECT id, must, unnest(numbers) AS number, generate_subscripts(numbers, 1) AS place FROM plan WHERE kind = 'section_lookup') p JOIN own n USING (number) JOIN chunks c USING (chunk_id) GROUP BY p.id, n.chunk_id, c.source, p.must) WHERE must IS NULL OR source = must"""
+    return f"""
+WITH {_planned(mode)}, qv AS (SELECT DISTINCT s.id, s.variant, p.kind, {depth} AS depth FROM specs s JOIN plan p USING (id)), own AS {_SECTIONS},
+posted AS {POSTINGS}, sized AS {LENGTHS}, stats AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM sized), df AS (SELECT term, count(*) AS df FROM posted GROUP BY term),
+asked AS (SELECT DISTINCT id, variant, term FROM (SELECT id, variant, kind, unnest({terms('variant')}) AS term FROM qv) WHERE term NOT IN ({_STOP}) AND NOT list_contains({_CONTEXT.format(kind='kind')}, term)),
+bm AS (SELECT id, variant, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS bm25 FROM asked JOIN posted USING (term) JOIN df USING (term) JOIN sized USING (chunk_id) CROSS JOIN stats GROUP BY id, variant, chunk_id),
+words AS (SELECT * FROM (SELECT b.*, depth, row_number() OVER (PARTITION BY id, variant ORDER BY bm25 DESC, chunk_id) AS r FROM bm b JOIN qv USING (id, variant)) WHERE r <= depth),
+cw AS {_MD5.format(keys='chunk_id', terms=terms('text'), rows='chunks')}, qw AS {_MD5.format(keys='id, variant', terms=terms('variant'), rows='qv')},
+cn AS (SELECT chunk_id, sum(w * w) AS n FROM cw GROUP BY chunk_id), qn AS (SELECT id, variant, sum(w * w) AS n FROM qw GROUP BY id, variant), dots AS (SELECT id, variant, chunk_id, sum(q.w * c.w) AS dot FROM qw q JOIN cw c USING (slot) GROUP BY id, variant, chunk_id),
+near AS (SELECT * FROM (SELECT id, variant, chunk_id, depth, cosine, row_number() OVER (PARTITION BY id, variant ORDER BY cosine DESC, chunk_id) AS r FROM (
+  SELECT qv.id, qv.variant, c.chunk_id, depth, CASE WHEN coalesce(qn.n, 0) * coalesce(cn.n, 0) = 0 THEN 0.0 ELSE round(coalesce(dot, 0) / (sqrt(qn.n::DOUBLE) * sqrt(cn.n::DOUBLE)), 6) END AS cosine FROM qv CROSS JOIN chunks c LEFT JOIN dots d ON d.id = qv.id AND d.variant = qv.variant AND d.chunk_id = c.chunk_id LEFT JOIN qn ON qn.id = qv.id AND qn.variant = qv.variant LEFT JOIN cn ON cn.chunk_id = c.chunk_id)) WHERE r <= depth),
+pool AS ({pool}),
+scaled AS (SELECT *, {semantic} AS s0, CASE WHEN max(b) OVER w - min(b) OVER w <= 1e-9 THEN 1.0 ELSE (b - min(b) OVER w) / (max(b) OVER w - min(b) OVER w) END AS kw FROM (SELECT p.*, n.cosine, coalesce(bm.bm25, 0.0) AS b FROM pool p LEFT JOIN near n USING (id, variant, chunk_id) LEFT JOIN bm USING (id, variant, chunk_id)) WINDOW w AS (PARTITION BY id, variant)),
+found AS (SELECT id, chunk_id, source, round({score}, 6) AS score, 1 AS origin FROM (SELECT s.*, c.source, p.kind, p.must, x.forced, CASE WHEN s.cosine IS NULL THEN 0.0 ELSE coalesce(s0, 0.0) END AS sem, CASE WHEN list_has_any(p.numbers, (SELECT list(number) FROM own WHERE own.chunk_id = c.chunk_id)) THEN 1.0 ELSE 0.0 END AS boost
+  FROM scaled s JOIN chunks c USING (chunk_id) JOIN specs x USING (id, variant) JOIN plan p USING (id)) WHERE (forced IS NULL OR source = forced) AND (must IS NULL OR source = must) {seeded}),
+best AS (SELECT f.*, p.sources, p.diversify FROM (SELECT *, row_number() OVER (PARTITION BY id, source, chunk_id ORDER BY score DESC, origin) AS x FROM found) f JOIN plan p USING (id) WHERE x = 1),
+placed AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, chunk_id) AS r, row_number() OVER (PARTITION BY id, source ORDER BY score DESC, chunk_id) AS s, CASE WHEN diversify THEN len(sources) ELSE 1 END AS n_sources FROM best)
+SELECT id, rank, chunk_id, source, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY CASE WHEN r = 1 OR n_sources < 2 THEN 0 WHEN list_contains(sources, source) AND s <= greatest(1, 5 // n_sources) THEN 1 ELSE 2 END, r) AS INTEGER) AS rank FROM placed) WHERE rank <= 5"""
+
+
+@query(f"WITH {_planned('routed_hybrid')} SELECT id, variant, forced FROM specs")
+def source_variants(t):
+    """What a routed search looks up: variants, and the question for each source of a diversified route."""
+    return retrieval.variant_specs(retrieval.planned(items(t).select("id", "question"), "routed_hybrid", 5, 1))
+
+
+@query(_searched("hybrid"))
 def retrieve_hybrid(t):
     return retrieval.search(items(t), t("chunks"), "hybrid")
 
 
-@query()
+@query(_searched("routed_hybrid"))
 def retrieve_routed_hybrid(t):
     return retrieval.search(items(t), t("chunks"), "routed_hybrid")
 
 
-@query()
+@query(_searched("faiss_only"))
 def retrieve_dense(t):
     return retrieval.search(items(t), t("chunks"), "faiss_only")
 
 
+@query(_searched("bm25_only"))
+def retrieve_bm25(t):
+    return retrieval.search(items(t), t("chunks"), "bm25_only")
+
+
 @query(f"""
 WITH {BM25}, top AS (SELECT * FROM (SELECT id, chunk_id, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, chunk_id) AS rank FROM bm) WHERE rank <= 60)
 SELECT id, CAST(count(*) AS BIGINT) AS n_candidates, round(max(score), 6) AS best FROM top GROUP BY id""")
