@@ -3,45 +3,67 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lekhya.functions import text as tx
+from lekhya.operators.dense import HASHED_WIDTH, slot
 
 SIZE, OVERLAP, SMALLEST, SIMILAR, LARGEST = 900, 150, 100, 0.75, 1600
 # Marks in order of preference.
 SEPARATORS = ("\n\n", "\n", "।", " ")
-UNIT_MARKS = "।;, "
 TAIL_MARKS = "।\n "
+_UNIT_MARK, _NONBLANK = re.compile("[।;, ]"), re.compile(r"\S")
 _SENTENCES = re.compile(r"(?<=।)\s+|\r?\n+")
 _SECTION = re.compile(r"^(?:दफा\s*)?\d+(?:[क-हA-Za-z])?[.)]", re.M)
-_WIDTH = 64
 
 
-def packed(text: str, size: int = SIZE, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Pieces of at most ``size`` characters: parts at the first separator, packed greedily; a part too long alone is packed by the next separator, its last piece staying open for what follows. Without separators left, plain slices."""
-    if len(text) <= size:
-        return [text] if text.strip() else []
+#: A chunk as the stretches of text it is made of; all are cut out once, at the end.
+Spans = list[tuple[int, int]]
+
+
+def _sliced(text: str, chunks: list[Spans]) -> list[str]:
+    return ["".join(text[a:b] for a, b in spans) for spans in chunks]
+
+
+def _reaches(text: str, begin: int, end: int, size: int, separators: tuple[str, ...]) -> list[Spans]:
+    """Chunks of ``text[begin:end]``: from where one begins it reaches the farthest end of a part that keeps it within ``size``, found among the ends of all parts by bisection.
+
+    A part too long alone is cut by the next separator, and its last chunk reaches on into the parts behind.
+    """
+    if end - begin <= size:
+        return [[(begin, end)]] if text[begin:end].strip() else []
     if not separators:
-        return [s for i in range(0, len(text), size) if (s := text[i : i + size]).strip()]
+        return [[(i, min(i + size, end))] for i in range(begin, end, size) if text[i : min(i + size, end)].strip()]
     mark, finer = separators[0], separators[1:]
-    done, held = [], ""
-    for part in text.split(mark):
-        longer = held + mark + part if held else part
-        if len(longer) <= size:
-            held = longer
+    places = [m.start() for m in re.compile(re.escape(mark)).finditer(text, begin, end)]
+    starts, ends = [begin, *(p + len(mark) for p in places)], [*places, end]
+    chunks: list[Spans] = []
+    at = 0
+    while at < len(ends):
+        own = [[(starts[at], ends[at])]] if ends[at] - starts[at] <= size else _reaches(text, starts[at], ends[at], size, finer)
+        if starts[at] == ends[at] or not own:  # nothing begins with an empty part
+            at += 1
             continue
-        done.append(held)
-        inner = packed(part, size, finer) if len(part) > size else [part]
-        done += inner[:-1]
-        held = inner[-1] if inner else ""
-    return [p for p in [*done, held] if p.strip()]
+        *whole, last = own
+        room = size - sum(b - a for a, b in last)
+        to = bisect_right(ends, ends[at] + room, at) - 1
+        if to > at:
+            last = [*last[:-1], (last[-1][0], ends[to])] if last[-1][1] == ends[at] else [*last, (ends[at], ends[to])]
+        chunks += [*whole, last]
+        at = max(to, at) + 1
+    return [c for c in chunks if any(text[a:b].strip() for a, b in c)]
+
+
+def packed(text: str, size: int = SIZE, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
+    """Pieces of at most ``size`` characters: parts at the first separator, as many to a piece as fit; a part too long alone by the next separator, its last piece staying open for what follows. Without separators left, plain slices. Blank pieces are dropped."""
+    return _sliced(text, _reaches(text, 0, len(text), size, separators))
 
 
 def tail(previous: str, size: int = OVERLAP) -> str:
@@ -57,26 +79,28 @@ def overlapped(chunks: list[str], glue: str) -> list[str]:
 
 def units(text: str, size: int = SIZE) -> list[str]:
     """Sentences; one too long is cut behind its last mark up to the size, hard when that leaves less than half."""
-    out = []
-    for sentence in _SENTENCES.split(text):
-        rest = sentence.strip()
-        while len(rest) > size:
-            at = max(rest.rfind(m, 0, size + 1) for m in UNIT_MARKS)
-            at = at + 1 if at >= size // 2 else size
-            out.append(rest[:at].strip())
-            rest = rest[at:].strip()
-        out.append(rest)
-    return [u for u in out if u]
+    breaks = [(m.start(), m.end()) for m in _SENTENCES.finditer(text)]
+    marks = [m.start() for m in _UNIT_MARK.finditer(text)]
+    cuts: Spans = []
+    for begin, end in zip([0, *(e for _, e in breaks)], [*(b for b, _ in breaks), len(text)]):
+        end = begin + len(text[begin:end].rstrip())
+        while (begin := _nonblank(text, begin, end)) < end:
+            nearest = bisect_right(marks, begin + size) - 1
+            behind = marks[nearest] + 1 if nearest >= 0 and marks[nearest] - begin >= size // 2 else begin + size
+            to = end if end - begin <= size else behind
+            cuts.append((begin, to))
+            begin = to
+    return [u for a, b in cuts if (u := text[a:b].strip())]
+
+
+def _nonblank(text: str, begin: int, end: int) -> int:
+    return m.start() if (m := _NONBLANK.search(text, begin, end)) else end
 
 
 def vector(text: str) -> np.ndarray:
-    """Signed hashed term counts at length one, the stand-in for an encoder."""
-    v = np.zeros(_WIDTH)
-    for w in text.lower().split():
-        h = xxhash.xxh3_64_intdigest(w)
-        v[h % _WIDTH] += 1.0 if h >> 40 & 1 else -1.0
-    n = np.sqrt(v @ v)
-    return v / n if n else v
+    """Signed term counts, the stand-in for an encoder."""
+    slots = [slot(w) for w in text.lower().split()]
+    return np.bincount([b for b, _ in slots], weights=[s for _, s in slots], minlength=HASHED_WIDTH) if slots else np.zeros(HASHED_WIDTH)
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> float:
@@ -87,9 +111,10 @@ def cosine(a: np.ndarray, b: np.ndarray) -> float:
 def grouped(parts: list[str], size: int = SIZE, similar: float = SIMILAR) -> list[str]:
     """Units joined left to right by spaces while the next one is as similar as ``similar`` to the group's centroid and fits."""
     out: list[str] = []
-    total = np.zeros(_WIDTH)
+    total = np.zeros(HASHED_WIDTH)
     for part in parts:
         v = vector(part)
+        v = v / n if (n := float(np.sqrt(v @ v))) else v
         if out and len(out[-1]) + 1 + len(part) <= size and cosine(v, total) >= similar:
             out[-1] += " " + part
             total = total + v
@@ -100,24 +125,21 @@ def grouped(parts: list[str], size: int = SIZE, similar: float = SIMILAR) -> lis
 
 
 def coalesced(groups: list[str], smallest: int = SMALLEST, size: int = SIZE) -> list[str]:
-    """Groups shorter than ``smallest`` joined to the one before, else to the one after, where that fits."""
-    out: list[str] = []
-    waiting = ""
-    for group in groups:
-        if waiting:
-            fits = len(waiting) + 1 + len(group) <= size
-            if fits:
-                group = waiting + " " + group
-            else:
-                out.append(waiting)
-            waiting = ""
-        if len(group) >= smallest:
-            out.append(group)
-        elif out and len(out[-1]) + 1 + len(group) <= size:
-            out[-1] += " " + group
+    """Groups shorter than ``smallest`` joined to the one before, else to the one after, where that fits.
+
+    Told from the lengths alone: a group continues the run before it when both fit together and either the run is
+    still too short or the group is.
+    """
+    begins: list[int] = []
+    length, short = 0, False
+    for i, n in enumerate(map(len, groups)):
+        if begins and (short or n < smallest) and length + 1 + n <= size:
+            length += 1 + n
+            short = short and length < smallest
         else:
-            waiting = group
-    return [*out, waiting] if waiting else out
+            begins.append(i)
+            length, short = n, n < smallest
+    return [" ".join(groups[a:b]) for a, b in zip(begins, [*begins[1:], len(groups)])]
 
 
 def recursive(text: str) -> list[str]:

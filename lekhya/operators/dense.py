@@ -63,7 +63,8 @@ HASHED_WIDTH = 64
 
 
 @functools.lru_cache(maxsize=1 << 16)
-def _slot(term: str) -> tuple[int, float]:
+def slot(term: str) -> tuple[int, float]:
+    """Slot and sign of a term by its MD5 sum."""
     digest = hashlib.md5(term.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
     return digest[0] % HASHED_WIDTH, 1.0 if digest[1] < 128 else -1.0
 
@@ -73,7 +74,7 @@ def _hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for lists in batches:
         out = []
         for words in lists:
-            slots = [_slot(w) for w in words]
+            slots = [slot(w) for w in words]
             v = np.bincount([b for b, _ in slots], weights=[s for _, s in slots], minlength=HASHED_WIDTH) if slots else np.zeros(HASHED_WIDTH)
             n = float(np.sqrt(v @ v))
             out.append(v / n if n else v)

@@ -29,6 +29,66 @@ def test_units_and_groups_keep_the_letters(text):
     assert drop("".join(groups)) == drop(text)
 
 
+def plainly_packed(text, size, separators=c.SEPARATORS):
+    """The rule as it is told: parts joined one by one."""
+    if len(text) <= size:
+        return [text] if text.strip() else []
+    if not separators:
+        return [x for i in range(0, len(text), size) if (x := text[i : i + size]).strip()]
+    out, now = [], ""
+    for part in text.split(separators[0]):
+        both = now + separators[0] + part if now else part
+        if len(both) <= size:
+            now = both
+        else:
+            out.append(now)
+            pieces = plainly_packed(part, size, separators[1:]) if len(part) > size else [part]
+            out, now = out + pieces[:-1], pieces[-1] if pieces else ""
+    return [p for p in [*out, now] if p.strip()]
+
+
+def plainly_coalesced(groups, smallest, size):
+    out, pending = [], None
+    for g in groups:
+        if pending is not None and len(pending) + 1 + len(g) <= size:
+            g = pending + " " + g
+        elif pending is not None:
+            out.append(pending)
+        pending = None
+        if len(g) >= smallest:
+            out.append(g)
+        elif out and len(out[-1]) + 1 + len(g) <= size:
+            out[-1] = out[-1] + " " + g
+        else:
+            pending = g
+    return out + ([] if pending is None else [pending])
+
+
+def plainly_cut(text, size):
+    out = []
+    for sentence in re.split(r"(?<=।)\s+|\r?\n+", text):
+        rest = sentence.strip()
+        while len(rest) > size:
+            at = max(i for i in range(-1, size + 1) if i < 0 or rest[i] in "।;, ")
+            at = at + 1 if at >= size // 2 else size
+            out, rest = [*out, rest[:at].strip()], rest[at:].strip()
+        out.append(rest)
+    return [u for u in out if u]
+
+
+@settings(max_examples=600, deadline=None)
+@given(TEXT, st.integers(2, 60))
+def test_packing_and_cutting_equal_the_plain_rules(text, size):
+    assert c.packed(text, size) == plainly_packed(text, size)
+    assert c.units(text, size) == plainly_cut(text, size)
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.text(alphabet="ab", min_size=1, max_size=30), max_size=12), st.integers(1, 20), st.integers(20, 60))
+def test_coalescing_equals_the_plain_rule(groups, smallest, size):
+    assert c.coalesced(groups, smallest, size) == plainly_coalesced(groups, smallest, size)
+
+
 def test_packed_without_finer_separator():
     assert c.packed("x" * 25, 10) == ["x" * 10, "x" * 10, "x" * 5]
     assert c.packed("  ") == []
