@@ -26,8 +26,7 @@ KINDS = np.array(["hard", "space", "sentence"])
 # Sentence ends and line breaks as given for this data.
 _SENTENCE_END = re.compile(r"[।?!]+[\"”’)\]}]*\s*|\s*\n\s*")
 _BLANKS = re.compile(r"\s+")
-_SENTENCE_STRETCH = re.compile(r"[^।?!\n]+")
-_WORD_STRETCH = re.compile(r"\S+")
+_SENTENCE_SIGN, _BLANK = re.compile(r"[।?!\n]"), re.compile(r"\s")
 _MARKS = re.compile(r"[ऀ-ःऺ-ॏ॑-ॗॢॣ̀-ͯ‌‍︀-️]")
 
 
@@ -52,15 +51,6 @@ def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
     return places, kind[places]
 
 
-def cut_kind(text: str, limit: int) -> str:
-    """Coarsest boundary every stretch of ``limit`` characters has: ``sentence``, ``space`` or else ``hard``."""
-    if max((m.end() - m.start() for m in _WORD_STRETCH.finditer(text)), default=0) > limit:
-        return "hard"
-    if max((m.end() - m.start() for m in _SENTENCE_STRETCH.finditer(text)), default=0) > limit:
-        return "space"
-    return "sentence"
-
-
 def successors(places: np.ndarray, kinds: np.ndarray, offset: np.ndarray, first: np.ndarray, last: np.ndarray, limit: int, overlap: int) -> np.ndarray:
     """For each boundary its farthest legal successor: the piece that starts ``overlap`` before it must end within ``limit``.
 
@@ -99,6 +89,40 @@ def reached(successor: np.ndarray, starts: np.ndarray) -> np.ndarray:
         step = step[step]
 
 
+def stretched(texts: list[str], limit: int, sign: re.Pattern) -> np.ndarray:
+    """Which texts have a stretch of more than ``limit`` characters without ``sign``.
+
+    The same chains without overlap: each sign is joined to the farthest one behind a piece within the limit, the
+    table is squared, and a text is stretched if its chain has to leave a sign behind which none is in reach.
+    """
+    places, owners, offset, firsts = [], [], [], []
+    shift = total = 0
+    for i, text in enumerate(texts):
+        own = [-1, *(m.start() for m in sign.finditer(text)), len(text)]
+        places.append(np.array(own, dtype=np.int64))
+        owners.append(np.full(len(own), i))
+        offset.append(np.full(len(own), shift))
+        firsts.append(total)
+        total += len(own)
+        shift += len(text) + 2 * limit + 4
+    out = np.zeros(len(texts), dtype=bool)
+    if not total:
+        return out
+    owner, shifted = np.concatenate(owners), np.concatenate(places) + np.concatenate(offset)
+    last = np.array([*firsts[1:], total])[owner] - 1
+    here = np.arange(total)
+    farthest = np.minimum(np.searchsorted(shifted, shifted + 1 + limit, side="right") - 1, last)
+    stuck = (farthest <= here) & (here < last)
+    on = reached(np.where(stuck, here + 1, farthest), np.array(firsts))
+    out[owner[on & stuck]] = True
+    return out
+
+
+def cut_kinds(texts: list[str], limit: int) -> list[str]:
+    """Coarsest sign every stretch of ``limit`` characters has: ``sentence``, ``space`` or else ``hard``."""
+    return KINDS[np.where(stretched(texts, limit, _BLANK), HARD, np.where(stretched(texts, limit, _SENTENCE_SIGN), SPACE, SENTENCE))].tolist()
+
+
 def cuts(texts: list[str], limit: int, overlap: int) -> list[tuple[int, int, int, str]]:
     """(index of text, start, end, kind of the boundary at the end) of every piece of all texts, in order."""
     places, kinds, texts_of, offset, firsts, lasts = [], [], [], [], [], []
@@ -137,7 +161,7 @@ def _cutter(limit: int, overlap: int, wanted: int) -> Callable[[Iterator[pa.Reco
             rows = cuts(texts, limit, overlap)
             index = pa.array([r[0] for r in rows], pa.int64())
             keys = [pc.take(batch.column(i), index) for i in range(batch.num_columns - 1)]
-            kinds = [cut_kind(t, limit) for t in texts]
+            kinds = cut_kinds(texts, limit)
             number = np.arange(len(rows)) - np.searchsorted([r[0] for r in rows], [r[0] for r in rows]) if rows else []
             columns = {
                 "piece_no": pa.array(number, pa.int32()),
