@@ -23,6 +23,10 @@ from lekhya.plans import cut, positions
 from lekhya.sources import table
 
 
+#: Runs broadcast at a time (24 bytes each, so at most 48 MB); more go in parts, each to the items of its sizes.
+SENT_RUNS = 2_000_000
+
+
 class Packing:
     """A packing of ``counts`` (size to number of items) into containers of ``capacity``, as runs.
 
@@ -121,19 +125,31 @@ def packed(items: DataFrame, capacity: int, size: str = "tokens", keys: tuple[st
     counts = {r[0]: r[1] for r in pieces.groupBy(size).count().collect()}
     packing = Packing(counts, capacity)
     runs = np.array(sorted(packing.runs), dtype=np.int64).reshape(-1, 4)
+    numbered = positions(pieces, [size], [F.xxhash64(*keys), *(F.col(k) for k in keys), F.col("piece_no")], [*keys, "piece_no"])
+    placed = None
+    for own in np.array_split(runs, max(1, -(-len(runs) // SENT_RUNS))):  # runs of the same size may stand in two parts: their numbers differ
+        part = _contained(numbered, own, size)
+        placed = part if placed is None else placed.unionByName(part)
+    return placed.select(*keys, "piece_no", size, "offset", "container_id")
+
+
+def _contained(numbered: DataFrame, runs: np.ndarray, size: str) -> DataFrame:
+    """Of the items ``numbered`` by size those that ``runs`` (sorted) place, with their container_id."""
     starts = runs[:, 0] * (1 << 44) + runs[:, 1]
-    shifts = runs[:, 3] - runs[:, 1]
-    held = items.sparkSession.sparkContext.broadcast((starts, shifts))  # at most about capacity squared runs
+    held = numbered.sparkSession.sparkContext.broadcast((starts, runs[:, 2], runs[:, 3]))  # SENT_RUNS rows at most
 
     @F.pandas_udf(T.LongType())
     def container(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        begin, shift = held.value
+        begin, width, first = held.value
         for sizes, numbers in batches:
-            at = np.searchsorted(begin, sizes.to_numpy() * (1 << 44) + numbers.to_numpy(), side="right") - 1
-            yield pd.Series(numbers.to_numpy() + shift[at])
-
-    numbered = positions(pieces, [size], [F.xxhash64(*keys), *(F.col(k) for k in keys), F.col("piece_no")], [*keys, "piece_no"])
-    return numbered.select(*keys, "piece_no", size, "offset", container(F.col(size), F.col("position")).alias("container_id"))
+            item = sizes.to_numpy() * (1 << 44) + numbers.to_numpy()
+            at = np.maximum(np.searchsorted(begin, item, side="right") - 1, 0)
+            past = item - begin[at] if len(begin) else np.full(len(item), -1)
+            inside = (past >= 0) & (past < width[at]) if len(begin) else np.zeros(len(item), dtype=bool)
+            yield pd.Series(np.where(inside, first[at] + past, 0) if len(begin) else past, dtype="Int64").mask(~inside)
+
+    low, high = (int(runs[0, 0]), int(runs[-1, 0])) if len(runs) else (0, -1)
+    return numbered.filter(F.col(size).between(low, high)).withColumn("container_id", container(F.col(size), F.col("position"))).filter("container_id IS NOT NULL")
 
 
 def p7_containers(spark: SparkSession, sf_dir: str, folder: str = FOLDER, model: str = MODEL) -> DataFrame:

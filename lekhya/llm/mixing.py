@@ -2,13 +2,15 @@
 
 Method: Sainte-Laguë apportionment. Blocks of equal tokens are allocated to the sources by the highest quotients
 weight / (2 blocks + 1), then each source's blocks to its shards in the same way, which gives every shard an integer
-quota; a seeded order of each shard's records then fills the quota, repeating records only when a shard is used up.
+quota; the records of a shard then fill it in seeded order, whole records rather than blocks of tokens, repeating
+records only when a shard is used up.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,8 +22,8 @@ from lekhya.sources import table
 SEED = 20240229
 #: Tokens of a block.
 BLOCK = 512
-#: Tokens a shard holds on average; shards are collected as (source, shard, tokens), one row per SHARD tokens.
-SHARD = 1 << 22
+#: Tokens a shard holds on average, and shards a source has at most; shards are collected as (source, shard, tokens).
+SHARD, SHARDS = 1 << 22, 1024
 
 
 def sainte_lague(weights: dict, seats: int, most: dict | None = None) -> dict:
@@ -50,10 +52,11 @@ def total_blocks(have: dict[str, int], shares: dict[str, float], repeats: dict[s
     return min((int(have.get(k, 0) * repeats[k] / shares[k] / block) for k in wanted), default=0)
 
 
-def mixed(records: DataFrame, targets: DataFrame, key: str, source: str, tokens: str, blocks: int | None = None, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
+def mixed(records: DataFrame, targets: DataFrame, key: str, source: str, tokens: str, blocks: int | None = None, block: int = BLOCK, shard: int = SHARD, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The mix: ``key``, ``source``, ``tokens``, repeat_no (from 1), one row for every use of a record.
 
-    ``targets`` (source, target_share, max_repeats) is collected (a row per source). ``blocks`` fixes the size of the
+    ``targets`` (source, target_share, max_repeats) is collected (a row per source), as are the sizes of the shards (at
+    most ``shards`` rows per source, whatever the size of the data). ``blocks`` fixes the size of the
     mix; left out, it is the largest at which every source with a share can meet it. A shard takes records in seeded
     order until its quota is reached to within half a record, each at most max_repeats times and none twice before
     all of its shard came once. Sources without target, null sources and records of 0 tokens aren't used; a target
@@ -65,15 +68,17 @@ def mixed(records: DataFrame, targets: DataFrame, key: str, source: str, tokens:
     shares, repeats = {k: v[0] for k, v in wanted.items()}, {k: v[1] for k, v in wanted.items()}
     own = cut(records.filter(F.col(source).isin(list(wanted)) & (F.col(tokens) > 0)).select(key, F.col(source).alias("source"), F.col(tokens).cast("long").alias("tokens")))
     have = {r.source: r.n for r in own.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}
-    n_shards = {k: max(1, -(-n // shard)) for k, n in have.items()}
+    n_shards = {k: min(shards, max(1, -(-n // shard))) for k, n in have.items()}
     widths = spark.createDataFrame(list(n_shards.items()), "source string, __shards long")
     order = F.xxhash64(F.lit(seed), F.col(key))
     sharded = own.join(F.broadcast(widths), "source").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key)), F.col("__shards"))).drop("__shards")  # widths: a row per target source
     parts = {(r.source, r.shard): r.n for r in sharded.groupBy("source", "shard").agg(F.sum("tokens").alias("n")).collect()}
     seats = sainte_lague(shares, total_blocks(have, shares, repeats, block) if blocks is None else blocks)
-    quotas = []
+    quotas, by_source = [], defaultdict(dict)
+    for p, t in parts.items():
+        by_source[p[0]][p] = t
     for k, n in seats.items():
-        of = {p: t for p, t in parts.items() if p[0] == k}
+        of = by_source[k]
         dealt = sainte_lague(of, n, {p: t * repeats[k] // block for p, t in of.items()})
         short = n - sum(dealt.values())
         # the rest of a block that no shard can hold whole goes to the shards with most left, in tokens
