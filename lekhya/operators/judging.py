@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,27 +38,37 @@ def refuses(answer: Column, patterns: list[str]) -> Column:
 
 
 def candidate(raw: Column) -> Column:
-    """The outermost JSON object of a reply, code fences and text around it left out; empty without one."""
+    """The outermost JSON object of a reply, code fences, brackets of a list around it and other text left out; empty without one."""
     return F.regexp_extract(raw, r"(?s)\{.*\}", 0)
 
 
 def repaired(c: Column) -> Column:
-    """Curly quotes straightened and commas before a closing bracket dropped."""
+    """Curly quotes straightened, commas before a closing bracket dropped."""
     return F.regexp_replace(F.translate(c, "“”", '""'), r",\s*([}\]])", "$1")
 
 
+def relaxed(c: Column) -> Column:
+    """A literal of Python as JSON: quotes of keys and strings made double, double ones inside escaped away, True, False and None in JSON's words."""
+    inner = F.regexp_replace(F.translate(repaired(c), '"', "’"), r"(?<=[{\[,:])\s*'|'\s*(?=[}\],:])", '"')
+    for python, json in (("True", "true"), ("False", "false"), ("None", "null")):
+        inner = F.regexp_replace(inner, rf"(?<=[\[,:])\s*{python}\s*(?=[}}\],])", json)
+    return inner
+
+
 def parsed(raw: Column) -> Column:
-    """(score, reasoning, indices, state) of a judge's reply: ``parsed``, ``repaired``, ``salvaged`` from a cut object, or ``failed`` with score 0."""
+    """(score, reasoning, indices, state) of a judge's reply: ``parsed``, ``repaired``, ``relaxed`` from a Python literal, ``salvaged`` from a cut object, or ``failed`` with score 0. Of a list of objects the first counts."""
     schema = "score double, reasoning string, relevant_chunk_indices array<int>"
     options = {"mode": "PERMISSIVE"}
     plain, fixed = F.from_json(candidate(raw), schema, options), F.from_json(repaired(candidate(raw)), schema, options)
+    loose = F.from_json(relaxed(candidate(raw)), schema, options)
+    first = F.from_json(repaired(F.regexp_extract(raw, r"(?s)\{[^{}]*\}", 0)), schema, options)
     cut_score = F.regexp_extract(raw, r'"score"\s*:\s*([0-9.]+)', 1)
     cut_reason = F.regexp_extract(raw, r'(?s)"reasoning"\s*:\s*"(.*?)(?:"|$)', 1)
     none = F.array().cast("array<int>")
     pick = lambda p, state: F.struct(p["score"].alias("score"), p["reasoning"].alias("reasoning"), F.coalesce(p["relevant_chunk_indices"], none).alias("indices"), F.lit(state).alias("state"))
     saved = F.struct(cut_score.try_cast("double").alias("score"), F.concat(F.lit("[truncated response] "), F.trim(cut_reason)).alias("reasoning"), none.alias("indices"), F.lit("salvaged").alias("state"))
     failed = F.struct(F.lit(0.0).alias("score"), F.lit(FAILURES[0]).alias("reasoning"), none.alias("indices"), F.lit("failed").alias("state"))
-    return F.when(plain["score"].isNotNull(), pick(plain, "parsed")).when(fixed["score"].isNotNull(), pick(fixed, "repaired")).when(cut_score.try_cast("double").isNotNull(), saved).otherwise(failed)
+    return F.when(plain["score"].isNotNull(), pick(plain, "parsed")).when(fixed["score"].isNotNull(), pick(fixed, "repaired")).when(first["score"].isNotNull(), pick(first, "repaired")).when(loose["score"].isNotNull(), pick(loose, "relaxed")).when(cut_score.try_cast("double").isNotNull(), saved).otherwise(failed)
 
 
 def sane_indices(indices: Column, n: Column) -> Column:
@@ -85,6 +96,8 @@ def done_in_all(results: list[DataFrame]) -> DataFrame:
 PROMPTS = {
     "correctness": "Question:\n{question}\n\nReference answer:\n{ground_truth}\n\nAnswer:\n{generated_answer}\n\nScore 0 to 1 as JSON.",
     "relevance": "Question:\n{question}\n\nAnswer:\n{generated_answer}\n\nDoes the answer address the question? Score 0 to 1 as JSON.",
+    "groundedness": "Sources:\n{context_summary}\n\nAnswer:\n{generated_answer}\n\nIs every claim supported by the sources? Score 0 to 1 as JSON.",
+    "retrieval_relevance": "Question:\n{question}\n\nResults:\n{results}\n\nWhich results help to answer? Give score 0 to 1 and relevant_chunk_indices as JSON.",
 }
 
 
@@ -114,15 +127,20 @@ class Pacer:
         self.last = self.clock()
 
 
-def asked(rows: DataFrame, key: str, text: str, call: Callable[[str], str], pace: float = 0.0, tries: int = 3) -> DataFrame:
+def asked(rows: DataFrame, key: str, text: str, call: Callable[[str], str], pace: float = 0.0, tries: int = 3, tasks: int = 8) -> DataFrame:
     """(key, reply, error) of ``call`` on every text, in batches on the workers; ``call`` is any client function.
 
-    A call that raises is tried again up to ``tries`` times; then the reply is null and the error told. ``pace``
-    seconds lie between the starts of a task's calls, so a global limit needs one partition or a shared limiter.
+    A call that raises is tried again up to ``tries`` times; then the reply is null and the error told. With a ``pace``
+    the whole job starts no more than one call in so many seconds on average: rows are dealt to ``tasks`` partitions, each of which
+    leaves ``tasks`` times the pace between its own starts, the first after its share of that, however many run at once.
     """
+    wait = pace * tasks
+    rows = rows.repartition(tasks, key) if pace else rows
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pacer = Pacer(pace)
+        pacer = Pacer(wait)
+        if wait and (at := TaskContext.get()):
+            pacer.last = pacer.clock() - wait + at.partitionId() * pace
         for batch in batches:
             replies, errors = [], []
             for one in batch[text]:

@@ -16,15 +16,15 @@ def occurrences(c: Column, part: str) -> Column:
     return ((F.length(c) - F.length(F.replace(c, F.lit(part)))) / len(part)).cast("long")
 
 
-def admission_errors(registry: DataFrame, texts: DataFrame) -> DataFrame:
+def admission_errors(registry: DataFrame, texts: DataFrame, artifacts: list[str] = ARTIFACTS) -> DataFrame:
     """(source, error) of a corpus: duplicate keys, sources without text, blank sources, artifacts with their counts.
 
     ``registry`` (source), ``texts`` (source, text). An empty result admits the corpus.
     """
-    sizes = texts.groupBy("source").agg(F.max(F.length(F.trim("text"))).alias("longest"), *(F.sum(occurrences(F.col("text"), a)).alias(f"a{i}") for i, a in enumerate(ARTIFACTS)))
+    sizes = texts.groupBy("source").agg(F.max(F.length(F.trim("text"))).alias("longest"), *(F.sum(occurrences(F.col("text"), a)).alias(f"a{i}") for i, a in enumerate(artifacts)))
     known = registry.groupBy("source").agg(F.count(F.lit(1)).alias("n")).join(sizes, "source", "left")
     found = [F.when(F.col("n") > 1, "duplicate source key"), F.when(F.col("longest").isNull(), "missing"), F.when(F.col("longest") == 0, "empty")]
-    found += [F.when(F.col(f"a{i}") > 0, F.concat(F.lit(f"artifact {a} occurs "), F.col(f"a{i}").cast("string"))) for i, a in enumerate(ARTIFACTS)]
+    found += [F.when(F.col(f"a{i}") > 0, F.concat(F.lit(f"artifact {a} occurs "), F.col(f"a{i}").cast("string"))) for i, a in enumerate(artifacts)]
     return known.select("source", F.explode(F.array_compact(F.array(*found))).alias("error"))
 
 
@@ -34,18 +34,30 @@ def require_admitted(errors: DataFrame) -> None:
         raise ValueError("corpus not admitted: " + "; ".join(f"{r.source}: {r.error}" for r in rows))
 
 
-_OCC = [f"CAST((length(text) - length(replace(text, '{a}', ''))) / {len(a)} AS BIGINT)" for a in ARTIFACTS]
+def _admission(texts: str, artifacts: list[str]) -> str:
+    each = [f"CAST((length(text) - length(replace(text, '{a}', ''))) / {len(a)} AS BIGINT)" for a in artifacts]
+    return f"""
+WITH s AS (SELECT source, max(length(trim(text))) AS longest, {', '.join(f'sum({o}) AS a{i}' for i, o in enumerate(each))} FROM ({texts}) GROUP BY source),
+k AS (SELECT source, n, longest, {', '.join(f'a{i}' for i in range(len(artifacts)))} FROM (SELECT source, count(*) AS n FROM corpus_registry GROUP BY source) LEFT JOIN s USING (source))
+SELECT * FROM (SELECT source, unnest([CASE WHEN n > 1 THEN 'duplicate source key' END, CASE WHEN longest IS NULL THEN 'missing' END, CASE WHEN longest = 0 THEN 'empty' END, {', '.join(f"CASE WHEN a{i} > 0 THEN 'artifact {a} occurs ' || a{i}::BIGINT END" for i, a in enumerate(artifacts))}]) AS error FROM k) WHERE error IS NOT NULL"""
 
 
-@query(f"""
-WITH s AS (SELECT act_ref AS source, max(length(trim(text))) AS longest, {', '.join(f'sum({o}) AS a{i}' for i, o in enumerate(_OCC))} FROM documents WHERE act_ref IS NOT NULL GROUP BY act_ref),
-k AS (SELECT source, n, longest, {', '.join(f'a{i}' for i in range(6))} FROM (SELECT source, count(*) AS n FROM corpus_registry GROUP BY source) LEFT JOIN s USING (source))
-SELECT * FROM (SELECT source, unnest([CASE WHEN n > 1 THEN 'duplicate source key' END, CASE WHEN longest IS NULL THEN 'missing' END, CASE WHEN longest = 0 THEN 'empty' END, {', '.join(f"CASE WHEN a{i} > 0 THEN 'artifact {a} occurs ' || a{i}::BIGINT END" for i, a in enumerate(ARTIFACTS))}]) AS error FROM k) WHERE error IS NOT NULL""")
+@query(_admission("SELECT act_ref AS source, text FROM documents WHERE act_ref IS NOT NULL", ARTIFACTS))
 def corpus_admission(t):
     """Acts of the registry without documents, blank ones, and artifacts in their documents."""
     return admission_errors(t("corpus_registry").select("source"), t("documents").filter("act_ref is not null").select(F.col("act_ref").alias("source"), "text"))
 
 
+#: Signs that no source may hold in a corpus of consistent characters.
+STRAY_SIGNS = ["\u200b", "\u200d", "\u00ad", "\u00a0", "\ufffd", "|"]
+
+
+@query(_admission("SELECT metadata.source AS source, text FROM search_results WHERE metadata.source IS NOT NULL", STRAY_SIGNS))
+def retrieved_text_admission(t):
+    """The same audit of the retrieved texts of each act, for stray signs."""
+    return admission_errors(t("corpus_registry").select("source"), t("search_results").filter("metadata.source is not null").select("metadata.source", "text"), STRAY_SIGNS)
+
+
 def fingerprint(c: Column) -> Column:
     """An order-free fingerprint of a group's texts: the sum of 60 bits of their MD5 sums; partial sums combine, so a hot group is no task's burden."""
     return F.sum(F.conv(F.substring(F.md5(c), 1, 15), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)").cast("string")
@@ -100,11 +112,11 @@ def reuse_check(t):
     return t("search_results").groupBy("question_id").agg(((F.count_distinct("metadata.retrieval_mode") == 1) & (F.count_distinct("rank") <= 5) & (F.count_if(blank) == 0)).alias("is_reusable"))
 
 
-@query("SELECT r.result_id FROM correctness_results r JOIN (SELECT id, max(created_at) AS created_at FROM eval_items GROUP BY id) e ON e.id = r.question_id WHERE r.evaluated_at < e.created_at")
+@query("SELECT r.result_id FROM correctness_results r JOIN (SELECT question_id, max(retrieved_at) AS retrieved_at FROM search_results GROUP BY question_id) s USING (question_id) WHERE r.evaluated_at < s.retrieved_at")
 def stale_judgements(t):
-    """Judgements older than the item they judge."""
-    made = t("eval_items").groupBy(F.col("id").alias("question_id")).agg(F.max("created_at").alias("made"))
-    return t("correctness_results").join(made, "question_id").filter("evaluated_at < made").select("result_id")
+    """Judgements older than the results they were derived from, which were retrieved anew since."""
+    retrieved = t("search_results").groupBy("question_id").agg(F.max("retrieved_at").alias("retrieved"))
+    return t("correctness_results").join(retrieved, "question_id").filter("evaluated_at < retrieved").select("result_id")
 
 
 @query("""

@@ -167,10 +167,15 @@ def context_budget(t):
     return rows.groupBy("question_id").agg(F.count_if(F.col("over") == 0).alias("n_kept"), F.coalesce(F.sum(F.when(F.col("over") == 0, F.col("n"))), F.lit(0)).cast("long").alias("n_chars"), F.bool_or(F.col("over") > 0).alias("is_truncated"))
 
 
-@query(f"SELECT {_dims('category', 'domain', 'difficulty')}, count(*) AS n, round_even(100.0 * count(*) / (SELECT count(*) FROM {FACTS}), 1) AS percent FROM {FACTS} GROUP BY GROUPING SETS ({_sets('category', 'domain', 'difficulty')})")
+_CENSUS = "(SELECT f.*, i.source FROM " + FACTS + " f JOIN (SELECT id, coalesce(min(source), 'unknown') AS source FROM eval_items GROUP BY id) i USING (id))"
+
+
+@query(f"SELECT {_dims('category', 'domain', 'difficulty', 'source')}, count(*) AS n, round_even(100.0 * count(*) / (SELECT count(*) FROM {_CENSUS}), 1) AS percent FROM {_CENSUS} GROUP BY GROUPING SETS ({_sets('category', 'domain', 'difficulty', 'source')})")
 def distribution_census(t):
-    rows = facts(t)
-    counted = scoped(rows, ["category", "domain", "difficulty"], {"n": F.count(F.lit(1))})
+    """Items and their percentage by category, domain, difficulty and source."""
+    sources = t("eval_items").groupBy("id").agg(F.coalesce(F.min("source"), F.lit("unknown")).alias("source"))
+    rows = facts(t).join(sources, "id")
+    counted = scoped(rows, ["category", "domain", "difficulty", "source"], {"n": F.count(F.lit(1))})
     total = counted.filter("dimension = 'all'").select(F.col("n").alias("__all"))
     return counted.join(F.broadcast(total)).select("dimension", "value", "n", F.bround(100.0 * F.col("n") / F.col("__all"), 1).alias("percent"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -24,6 +24,12 @@ def windows(events: DataFrame, time: str, key: str, value: str, width: str = "1
     return marked.groupBy(span.alias("w"), key).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("window_start"), key, "n", "total")
 
 
+def closed(events: DataFrame, time: str, keys: list[str], measures: dict[str, Column], width: str = "1 day", late: str = "7 days") -> DataFrame:
+    """``measures`` per window and keys, each window once when the watermark has passed it; rows that come later are dropped, so state holds open windows only. For sinks in append mode."""
+    grouped = events.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), *keys).agg(*(c.alias(k) for k, c in measures.items()))
+    return grouped.select(F.col("w.start").alias("window_start"), *keys, *measures)
+
+
 def sessions(events: DataFrame, time: str, key: str, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Sessions of a key that end after a gap."""
     return events.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), key, "n")

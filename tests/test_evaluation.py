@@ -42,6 +42,46 @@ def test_parsed(spark):
     assert got[2].reasoning == "[truncated response] cut in the mid" and got[4].state == "failed" and got[5].indices == [0, 9]
 
 
+def test_parsed_lists_and_python_literals(spark):
+    replies = ["{'score': 0.8, 'reasoning': 'it\\'s \"so\"', 'relevant_chunk_indices': [0, 2]}", "[{'score': 0.6, 'reasoning': None}]", '[{"score": 0.4, "reasoning": "a"}, {"score": 1.0, "reasoning": "b"}]']
+    got = [r.p for r in spark.createDataFrame([(r,) for r in replies], "x string").select(judging.parsed(F.col("x")).alias("p")).collect()]
+    assert [g.score for g in got] == [0.8, 0.6, 0.4] and got[0].indices == [0, 2] and got[1].state == "relaxed"
+
+
+def test_required_sources_and_targets(spark):
+    schema = "id string, source string, metadata struct<source:string>, category string, answerability string, required_sections array<struct<source:string,dafa:string>>, required_dafas array<string>"
+    rows = [
+        ("own", "s1", ("Act Two",), "x", "answerable", [], ["५"]), ("named", None, ("Act Two",), "x", "answerable", [], ["6"]), ("both", "both", ("Act Two",), "x", "answerable", [], ["7"]), ("unknown", "", ("No Act",), "x", None, [], ["8"]),
+        ("exact", "s1", (None,), "x", None, [("s2", "9")], ["9"]), ("out", "s1", (None,), "out_of_scope", None, [], ["1"]), ("out2", "s1", (None,), "x", "out_of_scope", [("s1", "1")], []),
+    ]
+    items = spark.createDataFrame(rows, schema)
+    registry = spark.createDataFrame([("s1", "Act One"), ("s2", "Act Two")], "source string, act_name string")
+    required = metrics.required_source(items, registry)
+    assert {r.id: r.required for r in required.collect()} == {"own": "s1", "named": "s2", "both": None, "unknown": None, "exact": "s1", "out": "s1", "out2": "s1"}
+    assert {tuple(r) for r in metrics.targets(items, required).collect()} == {("own", "s1", "5"), ("named", "s2", "6"), ("both", None, "7"), ("unknown", None, "8"), ("exact", "s2", "9")}
+
+
+def test_calls_of_all_tasks_keep_one_pace(spark):
+    import time
+
+    rows = spark.createDataFrame([(i, "t") for i in range(12)], "k long, t string")
+    got = judging.asked(rows, "k", "t", lambda _: repr(time.time()), pace=0.05, tasks=3).collect()
+    starts = sorted(float(r.reply) for r in got)
+    assert len(starts) == 12 and starts[-1] - starts[0] >= 0.05 * 3 * (max(12 // 3, 4) - 1) * 0.9
+
+
+def test_bootstrap_draws_are_poisson():
+    k = statistics.multiplicities(spark_hashes(), 400)
+    assert abs(k.mean() - 1) < 0.01 and abs(k.var() - 1) < 0.02 and abs((k == 0).mean() - math.exp(-1)) < 0.01
+    assert (k == statistics.multiplicities(spark_hashes(), 400)).all()
+
+
+def spark_hashes():
+    import numpy as np
+
+    return np.random.default_rng(1).integers(-(2**63), 2**63 - 1, size=1500)
+
+
 def test_refusals_and_indices(spark):
     answers = ["I cannot answer this", "ERROR: cannot answer", "", None, "यस प्रश्नको उत्तर दिन असमर्थ छु", "माफ गर्नुहोस्, यो जानकारी उपलब्ध कानूनी सन्दर्भमा छैन।"]
     df = spark.createDataFrame([(a,) for a in answers], "x string")
