@@ -35,7 +35,8 @@ KEPT = frozenset("…№™½¼¾²³¹ªº‥℃℉µ")
 LUNATE = frozenset("ϲϹ")
 # Signs that only stand in for others here; text is never rewritten to them.
 NEVER_MEANT = frozenset("ǀ∣꞉") | LUNATE
-_KEPT_RUNS = regex.compile("([" + "".join(sorted(KEPT | LUNATE)) + "]+)")
+_KEPT_ALL = KEPT | LUNATE
+_KEPT_RUNS = regex.compile("([" + "".join(sorted(_KEPT_ALL)) + "]+)")
 #: Sequences rewritten only towards the first sign of their class: the others aren't spellings of any script.
 _SEQUENCES = {alt: group[0] for group in LOOK_ALIKES for alt in group if len(alt) > 1}
 _CHARS = {alt: [x for x in group if len(x) == 1] for group in LOOK_ALIKES for alt in group if len(alt) == 1}
@@ -54,9 +55,11 @@ HELD_TOKENS = 200_000
 
 def plain(text: str) -> str:
     """Compatibility-normalised, canonically composed text with plain spaces and without ignorable characters; letter case, digits, blanks and line breaks stay."""
+    if text.isascii():
+        return _spaced(text)
     out = []
     for run in _KEPT_RUNS.split(text):
-        if run and run[0] in KEPT | LUNATE:
+        if run and run[0] in _KEPT_ALL:
             out.append(run)
         elif run:
             out.append(_spaced(unicodedata.normalize("NFKC", _spaced(run))))
