@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lekhya.functions import text as tx
 
 WORDS, SIMILARITY = 5, 0.8
+#: Texts from which a shingle is dealt to several tasks, and how many.
+HOT, SALTS = 1000, 16
 
 
 def shingles(words: Column, n: int = WORDS) -> Column:
@@ -28,8 +30,13 @@ def classes(rows: DataFrame, key: str, text: str, threshold: float = SIMILARITY)
     each = reps.select("class_id", F.size("__g").alias("__m"), F.explode("__g").alias("gram"))
     df = each.groupBy("gram").agg(F.count(F.lit(1)).alias("__df")).filter("__df > 1")
     nth = F.row_number().over(Window.partitionBy("class_id").orderBy(F.coalesce("__df", F.lit(1)), "gram"))
-    prefix = each.join(df, "gram", "left").withColumn("__n", nth).filter((F.col("__n") <= F.col("__m") - F.ceil(F.col("__m") * threshold) + 1) & F.col("__df").isNotNull()).select("gram", "class_id")
-    pairs = prefix.select("gram", F.col("class_id").alias("a")).join(prefix.select("gram", F.col("class_id").alias("b")), "gram").filter("a < b").select("a", "b").distinct()
+    prefix = each.join(df, "gram", "left").withColumn("__n", nth).filter((F.col("__n") <= F.col("__m") - F.ceil(F.col("__m") * threshold) + 1) & F.col("__df").isNotNull()).select("gram", "class_id", "__m", "__df")
+    # a gram of many texts is dealt to SALTS parts on one side and stands in all of them on the other
+    hot = F.col("__df") > HOT
+    one = prefix.select("gram", F.when(hot, F.pmod(F.xxhash64("class_id"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt"), F.col("class_id").alias("a"), F.col("__m").alias("ma"))
+    other = prefix.select("gram", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"), F.col("class_id").alias("b"), F.col("__m").alias("mb"))
+    fit = (F.col("ma") >= threshold * F.col("mb")) & (F.col("mb") >= threshold * F.col("ma"))  # texts too unlike in size can't be similar
+    pairs = one.join(other, ["gram", "salt"]).filter((F.col("a") < F.col("b")) & fit).select("a", "b").distinct()
     grams = reps.select("class_id", "__g")
     full = pairs.join(grams.select(F.col("class_id").alias("a"), F.col("__g").alias("ga")), "a").join(grams.select(F.col("class_id").alias("b"), F.col("__g").alias("gb")), "b")
     common = F.size(F.array_intersect("ga", "gb"))

@@ -233,6 +233,18 @@ def route_scores(t):
     return r.select("id", "score_muluki_ain", "score_domestic_violence", F.size("explicit").cast("long").alias("n_explicit"))
 
 
+def _phrases(source: str) -> str:
+    listed = ", ".join(f"'{p}'" for s, p, _ in routing.PROFILE if s == source)
+    return f"array_to_string(list_filter([{listed}], lambda p: contains(norm, p)), '|')"
+
+
+@query(f"SELECT id, {_phrases('muluki_ain')} AS muluki_ain, {_phrases('domestic_violence')} AS domestic_violence FROM {_SCORED}")
+def matched_phrases(t):
+    """The profile phrases of each source that a question holds."""
+    norm = tx.spaced(F.col("question"))
+    return items(t).select("id", *(F.array_join(routing.matched(norm, s), "|").alias(s) for s in routing.SOURCES))
+
+
 _CUES = " OR ".join(f"contains(norm, '{c}')" for c in routing.BOTH_CUES)
 _RTYPE = f"CASE WHEN m >= 3 AND d >= 3 OR {_CUES} THEN 'multi_source' WHEN m >= 3 OR d >= 3 THEN 'single_source' ELSE 'global' END"
 

@@ -105,3 +105,31 @@ def test_near_duplicates_equal_brute_force(spark):
         links = sum(1 for u, g in texts.items() if t and u != t and len(g & texts[t]) >= 0.8 * len(g | texts[t]))
         assert got[i].n_links == links
         assert got[i].class_id == (min(k for k, u in rows if u == t) if t else i)
+
+
+def test_hot_shingles_lose_no_link(spark, monkeypatch):
+    random.seed(7)
+    base = [f"w{i}" for i in range(20)]
+    texts = []
+    for _ in range(60):
+        words = base[:]
+        for i in random.sample(range(20), random.randint(0, 2)):
+            words[i] = f"x{random.randrange(3)}"
+        texts.append(" ".join(words))
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    whole = {tuple(r) for r in neardup.classes(rows, "id", "t").collect()}
+    monkeypatch.setattr(neardup, "HOT", 2)
+    assert {tuple(r) for r in neardup.classes(rows, "id", "t").collect()} == whole and any(r[3] for r in whole)
+
+
+def test_variants_and_contexts(spark):
+    chunks = spark.createDataFrame([(i, f"{w} ऐन", [str(i)], str(i), s) for i, (w, s) in enumerate([("दर्ता", "muluki_ain"), ("पीडक", "domestic_violence"), ("करार", "muluki_ain"), ("दाइजो", "domestic_violence")], 1)], "chunk_id int, text string, dafa_list array<string>, dafa string, source string")
+    asked = spark.createDataFrame([("a", "कृपया भन्नुहोस्, करार पीडक दुवै ऐन"), ("b", None), ("c", ""), (None, "करार")], "id string, question string")
+    plan = retrieval.planned(asked, "routed_hybrid", 5, 4)
+    specs = {(r.id, r.forced) for r in retrieval.variant_specs(plan).collect()}
+    assert {("a", None), ("a", "muluki_ain"), ("a", "domestic_violence")} <= specs and all(i is not None for i, _ in specs)
+    got = retrieval.search(asked, chunks, "routed_hybrid", 2).collect()
+    assert {r.id for r in got} <= {"a", "b", "c"} and sum(r.id == "a" for r in got) == 2
+    assert retrieval.search(asked, chunks.limit(0), "bm25_only", 2).count() == 0
+    with pytest.raises(ValueError):
+        retrieval.search(asked, chunks, "other")
