@@ -113,7 +113,10 @@ def judge_prompts(t):
     return t("correctness_results").select("result_id", F.sha2(judging.prompt(judging.PROMPTS["correctness"], ["question", "ground_truth", "generated_answer"]), 256).alias("prompt_sha256"))
 
 
-@query()
+_PROMPT = "'Question:' || chr(10) || coalesce(question, '') || chr(10) || chr(10) || 'Reference answer:' || chr(10) || coalesce(ground_truth, '') || chr(10) || chr(10) || 'Answer:' || chr(10) || coalesce(generated_answer, '') || chr(10) || chr(10) || 'Score 0 to 1 as JSON.'"
+
+
+@query(f"SELECT result_id, ([0.0, 0.2, 0.4, 0.6, 0.8, 1.0]::DOUBLE[])[length({_PROMPT}) % 6 + 1] AS score, 'parsed' AS state, CAST(NULL AS VARCHAR) AS error FROM correctness_results")
 def judged_by_stub(t):
     """Every correctness prompt through the batched client with the deterministic judge, the replies parsed."""
     rows = t("correctness_results").select("result_id", judging.prompt(judging.PROMPTS["correctness"], ["question", "ground_truth", "generated_answer"]).alias("prompt"))
