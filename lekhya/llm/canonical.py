@@ -53,10 +53,20 @@ MARGIN = 1.0
 HELD_TOKENS = 200_000
 
 
+#: Blanks, breaks, controls and ignorable characters that ``plain`` rewrites.
+_ODD = regex.compile(r"[^\P{Zs} ]|[\p{Cf}\p{Default_Ignorable_Code_Point}\u2028\u2029\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ufe00-\ufe0f]")
+
+
 def plain(text: str) -> str:
     """Compatibility-normalised, canonically composed text with plain spaces and without ignorable characters; letter case, digits, blanks and line breaks stay."""
     if text.isascii():
         return _spaced(text)
+    if unicodedata.is_normalized("NFKC", text) and not _ODD.search(text):
+        return text
+    return _rewritten(text)
+
+
+def _rewritten(text: str) -> str:
     out = []
     for run in _KEPT_RUNS.split(text):
         if run and run[0] in _KEPT_ALL:

@@ -195,6 +195,13 @@ def test_rounds_end_in_a_form_that_stays():
         assert can.canonical(once, scores, {}) == once or can.canonical(can.canonical(once, scores, {}), scores, {}) in (word, once)
 
 
+def test_texts_in_plain_form_are_told_at_once():
+    for c in map(chr, range(0x30000)):
+        if not 0xD800 <= ord(c) < 0xE000:
+            text = f"क{c} é"
+            assert can.plain(text) == can._rewritten(text), hex(ord(c))
+
+
 def test_disguised_texts_come_back():
     random.seed(1)
     counts = can.Counter()
