@@ -7,7 +7,6 @@ terminal contexts of all answers.
 
 from __future__ import annotations
 
-import functools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -19,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lekhya.llm.memo import remembered
 from lekhya.llm.terminals import judged, text_end, word_ends
 from lekhya.sources import table
 
@@ -114,7 +114,7 @@ COPY_RESIDUAL = 0.45
 ANSWER_WORDS = 4
 
 
-@functools.lru_cache(maxsize=1024)
+@remembered
 def fold(text: str | None) -> str:
     """Compatibility-normalised lower-case text without invisible signs, blanks single and trimmed; null is empty."""
     folded = unicodedata.normalize("NFKC", text or "").lower()
@@ -183,7 +183,7 @@ def copy_residual(question: str, answer: str) -> float:
     return max(0, given - 9) / max(1, alone - 9)
 
 
-@functools.lru_cache(maxsize=1024)
+@remembered
 def language(folded: str) -> str:
     """Code of the main language, or empty when the text has too few letters or too few known words to tell.
 

@@ -50,7 +50,7 @@ def jumped(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
     to = np.arange(n)
     while len(u):
         np.minimum.at(to, np.maximum(u, v), np.minimum(u, v))
-        while (ahead := to[to]).tolist() != to.tolist() if n < 64 else not np.array_equal(ahead := to[to], to):
+        while not np.array_equal(ahead := to[to], to):
             to = ahead
         u, v = to[u], to[v]
         apart = u != v

@@ -7,7 +7,6 @@ hits, and the agreement with and containment in each training record hit is comp
 
 from __future__ import annotations
 
-import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lekhya.llm.canonical import LOOK_ALIKES, plain
+from lekhya.llm.memo import remembered
 from lekhya.plans import cut
 from lekhya.sources import table
 
@@ -63,7 +63,7 @@ def _trigrams(words: Counter) -> Counter:
     return Counter(f" {w} "[i : i + 3] for w in words.elements() for i in range(len(w)))
 
 
-@functools.lru_cache(maxsize=1024)
+@remembered
 def _counted(norm: str) -> tuple[Counter, Counter]:
     words = Counter(norm.split())
     return words, _trigrams(words)
