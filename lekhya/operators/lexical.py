@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lekhya.functions import text as tx
+from lekhya.plans import cut
 
 K1, B = 1.5, 0.75
 #: Queries or texts of a block.
@@ -65,17 +66,23 @@ def pair_scores(pairs: DataFrame, asked: DataFrame, weights: DataFrame, qkey: st
     return pairs.join(part, [qkey, key], "left").select(qkey, key, F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def best(asked: DataFrame, weights: DataFrame, qkey: str, key: str, k: int, block: int = BLOCK) -> DataFrame:
+def best(asked: DataFrame, weights: DataFrame, qkey: str, key: str, k: int, block: int = BLOCK, written: bool = False) -> DataFrame:
     """The k best of each query by score, ties by key, with ``rank`` from 1; only pairs with a common term.
 
     Blocks of queries meet blocks of texts. A meeting adds the weights of a block's postings for all its queries at once
     and keeps k a query, so frequent terms cost additions in memory, and what is shuffled is k rows per query and block.
-    The result is exact.
+    The result is exact. Both inputs are counted and read again, so they are written once unless they are ``written``.
     """
-    n_texts, n_queries = (d.select(c).distinct().count() for d, c in ((weights, key), (asked, qkey)))
-    salt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(max(1, -(-n // block))))
-    texts = weights.groupBy(salt(key, n_texts).alias("b")).agg(F.collect_list(key).alias("keys"), F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights")).drop("b")  # block texts each
-    queries = asked.groupBy(salt(qkey, n_queries).alias("b")).agg(F.collect_list(qkey).alias("ids"), F.collect_list("term").alias("asked")).drop("b")
+    if not written:
+        asked, weights = cut(asked), cut(weights)
+
+    def blocked(rows: DataFrame, by: str, **lists: str) -> DataFrame:
+        """Blocks of ``block`` keys, a partition each, so that meetings are as many tasks as there are."""
+        n = max(1, -(-rows.select(by).distinct().count() // block))
+        dealt = rows.withColumn("b", F.pmod(F.xxhash64(by), F.lit(n))).repartition(n, "b")
+        return dealt.groupBy("b").agg(*(F.collect_list(c).alias(name) for name, c in lists.items())).drop("b")
+
+    texts, queries = blocked(weights, key, keys=key, terms="term", weights="weight"), blocked(asked, qkey, ids=qkey, asked="term")
     kinds = asked.schema[qkey].dataType, weights.schema[key].dataType
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

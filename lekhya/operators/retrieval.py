@@ -98,7 +98,7 @@ def search(questions: DataFrame, chunks: DataFrame, mode: str, k: int = K) -> Da
     else:
         weights = cut(lexical.weighted(texts, "chunk_id", "text"))
         terms = cut(lexical.query_terms(asked, "qid", "variant", context=F.col("kind")))
-        words = lexical.best(terms, weights, "qid", "chunk_id", widest).join(depths, "qid").filter("rank <= depth").select("qid", "chunk_id")
+        words = lexical.best(terms, weights, "qid", "chunk_id", widest, written=True).join(depths, "qid").filter("rank <= depth").select("qid", "chunk_id")
         pool = cut(near.select("qid", "chunk_id").unionByName(words).distinct())
         bm = lexical.pair_scores(pool, terms, weights, "qid", "chunk_id").withColumnRenamed("score", "bm25")
         scored = bm.join(near, ["qid", "chunk_id"], "left")
