@@ -69,13 +69,18 @@ def slot(term: str) -> tuple[int, float]:
     return digest[0] % HASHED_WIDTH, 1.0 if digest[1] < 128 else -1.0
 
 
+def counts(words: list[str]) -> np.ndarray:
+    """Signed term counts by slot."""
+    slots = [slot(w) for w in words]
+    return np.bincount([b for b, _ in slots], weights=[s for _, s in slots], minlength=HASHED_WIDTH) if slots else np.zeros(HASHED_WIDTH)
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for lists in batches:
         out = []
         for words in lists:
-            slots = [slot(w) for w in words]
-            v = np.bincount([b for b, _ in slots], weights=[s for _, s in slots], minlength=HASHED_WIDTH) if slots else np.zeros(HASHED_WIDTH)
+            v = counts(words)
             n = float(np.sqrt(v @ v))
             out.append(v / n if n else v)
         yield pd.Series(out)
@@ -84,3 +89,10 @@ def _hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def hashed_vector(c: Column) -> Column:
     """A deterministic stand-in for a text encoder: signed term counts at length one, a term's slot and sign by its MD5 sum; zero for null texts and texts without terms."""
     return _hashed(tx.terms(F.coalesce(c, F.lit(""))))
+
+
+@F.pandas_udf(T.BinaryType())
+def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Signed term counts of a list of terms, 32-bit whole numbers: the stand-in vector before it is brought to length one."""
+    for lists in batches:
+        yield pd.Series([counts(words).astype(np.int32).tobytes() for words in lists])

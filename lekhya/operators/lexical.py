@@ -34,16 +34,20 @@ def lengths(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.select(key, F.size(tx.terms(F.col(text))).cast("long").alias("dl"))
 
 
-def query_terms(queries: DataFrame, key: str, text: str, stop_words: tuple[str, ...] = STOP_WORDS, context: Column | None = None) -> DataFrame:
-    """(key, term): the distinct terms of each query without stop words, and without those of its ``context`` (``CONTEXT_STOP_WORDS``) if one is given."""
+def asked_terms(text: Column, stop_words: tuple[str, ...] = STOP_WORDS, context: Column | None = None) -> Column:
+    """The distinct terms of a query without stop words, and without those of its ``context`` (``CONTEXT_STOP_WORDS``) if one is given."""
     more = None
     for name, words in CONTEXT_STOP_WORDS.items() if context is not None else ():
         more = F.when(context == name, F.array(*map(F.lit, words))) if more is None else more.when(context == name, F.array(*map(F.lit, words)))
-    terms = F.array_distinct(tx.terms(F.col(text)))
+    terms = F.array_distinct(tx.terms(text))
     if more is not None:
         terms = F.array_except(terms, F.coalesce(more, F.array().cast("array<string>")))
-    kept = F.filter(terms, lambda x: ~x.isin(*stop_words))
-    return queries.select(key, F.explode(kept).alias("term")).distinct()
+    return F.filter(terms, lambda x: ~x.isin(*stop_words))
+
+
+def query_terms(queries: DataFrame, key: str, text: str, stop_words: tuple[str, ...] = STOP_WORDS, context: Column | None = None) -> DataFrame:
+    """(key, term): ``asked_terms`` of each query."""
+    return queries.select(key, F.explode(asked_terms(F.col(text), stop_words, context)).alias("term")).distinct()
 
 
 def idf(n: Column, df: Column) -> Column:

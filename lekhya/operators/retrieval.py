@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lekhya.functions import text as tx
-from lekhya.operators import dense, lexical, routing
+from lekhya.operators import lexical, meetings, routing
 from lekhya.plans import cut
 
 K, FLAT = 5, 1e-9
@@ -55,6 +55,19 @@ def seeds(mentions: DataFrame, sections: DataFrame, qkey: str, key: str) -> Data
     return hit.withColumn("score", F.round(F.greatest(F.lit(0.80), 1.0 - 0.05 * F.col("mention_rank")), 6))
 
 
+def first_of_sections(sections: DataFrame, k: int) -> DataFrame:
+    """(chunk_id, number) of ``sections`` (chunk_id, source, number) that can be among the k best seeds of all or of a routed source.
+
+    Behind the k smallest chunk_id of a number, a chunk has k others before it that score at least as much, so no result loses a row.
+    """
+    ids = F.array_distinct(F.array_sort(F.flatten(F.collect_list("ids"))))
+    of_source = sections.groupBy("number", "source", F.pmod(F.xxhash64("chunk_id"), F.lit(16))).agg(F.slice(F.array_sort(F.collect_set("chunk_id")), 1, k).alias("ids"))
+    of_source = of_source.groupBy("number", "source").agg(F.slice(ids, 1, k).alias("ids"))
+    of_all = of_source.groupBy("number").agg(F.slice(ids, 1, k).alias("ids"))
+    kept = of_source.filter(F.col("source").isin(*routing.SOURCES)).select("number", "ids").unionByName(of_all)
+    return kept.select("number", F.explode("ids").alias("chunk_id")).distinct()
+
+
 def variant_specs(plan: DataFrame) -> DataFrame:
     """(id, variant, forced): what is looked up for each question of ``plan`` (id, question, sources, diversify): its variants, and the question again for each source of a diversified route, whose other results are left out."""
     told = plan.withColumn("__q", F.coalesce("question", F.lit("")))
@@ -75,7 +88,7 @@ def planned(questions: DataFrame, mode: str, k: int, n: int) -> DataFrame:
 def search(questions: DataFrame, chunks: DataFrame, mode: str, k: int = K) -> DataFrame:
     """The whole search of ``questions`` (id, question) over ``chunks`` in one plan: id, rank, chunk_id, source, score.
 
-    Each variant of a question, and the question for each source of a diversified route, is searched: dense candidates
+    Each variant of a question, and the question for each source of a diversified route, is searched (once where the terms are the same): dense candidates
     (hashed stand-in vectors) and keyword candidates are cut at the over-fetch depth, scaled over the candidates of that
     variant, fused, and filtered by source. The best row of a chunk counts, exact section seeds included; multi-source
     routes are diversified. Unknown modes raise. Null and empty questions have no keyword candidates; an empty corpus
@@ -86,33 +99,18 @@ def search(questions: DataFrame, chunks: DataFrame, mode: str, k: int = K) -> Da
     texts = chunks.withColumn("chunk_id", F.col("chunk_id").cast("long"))
     n = texts.count()
     plan = cut(planned(questions.select("id", "question"), mode, k, n))
-    specs = cut(variant_specs(plan).withColumn("qid", F.xxhash64("id", "variant")))
-    asked = cut(specs.select("id", "qid", "variant").distinct().join(plan.select("id", "kind", "depth"), "id"))
-    widest = max(1, min(12 * k, n))
-    near = dense.top_k(asked.select(F.col("qid").alias("vec"), dense.hashed_vector(F.col("variant")).alias("v")), texts.select(F.col("chunk_id").alias("vec"), dense.hashed_vector(F.col("text")).alias("v")), "vec", "v", widest)
-    near = near.select(F.col("query_id").alias("qid"), F.col("vec").alias("chunk_id"), F.col("score").alias("cosine"), "rank")
-    depths = asked.select("qid", "depth")
-    near = cut(near.join(depths, "qid").filter("rank <= depth").select("qid", "chunk_id", "cosine"))
-    if mode == "faiss_only":
-        scored = near.withColumn("bm25", F.lit(0.0))
-    else:
-        weights = cut(lexical.weighted(texts, "chunk_id", "text"))
-        terms = cut(lexical.query_terms(asked, "qid", "variant", context=F.col("kind")))
-        words = lexical.best(terms, weights, "qid", "chunk_id", widest, written=True).join(depths, "qid").filter("rank <= depth").select("qid", "chunk_id")
-        pool = cut(near.select("qid", "chunk_id").unionByName(words).distinct())
-        bm = lexical.pair_scores(pool, terms, weights, "qid", "chunk_id").withColumnRenamed("score", "bm25")
-        scored = bm.join(near, ["qid", "chunk_id"], "left")
-    semantic = F.col("cosine") if mode in ("faiss_only", "bm25_only") else F.when(F.col("cosine").isNotNull(), minmax(F.col("cosine"), ["qid"]))
-    scaled = scored.withColumn("sem", semantic).withColumn("kw", minmax(F.col("bm25"), ["qid"]))
+    terms = tx.terms(F.col("variant"))
+    same = F.xxhash64(F.array_sort(terms), "kind", "depth", "numbers")  # texts of the same terms find the same
+    specs = cut(variant_specs(plan).join(plan.select("id", "kind", "depth", "numbers"), "id").withColumn("qid", same))
+    classes = cut(specs.dropDuplicates(["qid"]).select("qid", terms.alias("terms"), lexical.asked_terms(F.col("variant"), context=F.col("kind")).alias("asked"), F.array() if mode == "faiss_only" else "numbers", "depth", "kind").toDF("qid", "terms", "asked", "numbers", "depth", "kind"))
     labels = F.when(F.size("dafa_list") > 0, F.col("dafa_list")).otherwise(F.array("dafa"))
-    known = texts.select("chunk_id", "source", F.array_distinct(F.transform(labels, tx.section_number)).alias("own"))
-    full = scaled.join(known, "chunk_id").join(specs.select("id", "qid", "forced"), "qid").filter(F.col("forced").isNull() | (F.col("source") == F.col("forced"))).join(plan.drop("depth", "question"), "id")
-    boost = F.when(F.arrays_overlap("numbers", "own") & F.lit(mode != "faiss_only"), 1.0).otherwise(0.0)
-    fit = full.withColumn("score", fused(F.lit(mode), F.col("kind"), F.col("sem"), F.col("kw"), boost)).filter(F.col("must").isNull() | (F.col("source") == F.col("must")))
-    found = fit.select("id", "chunk_id", "source", F.round("score", 6).alias("score"), F.lit(1).alias("origin"))
+    known = cut(texts.select("chunk_id", "source", F.array_compact(F.array_distinct(F.transform(labels, tx.section_number))).alias("own"), tx.terms(F.col("text")).alias("terms")))
+    scored = cut(meetings.scored(classes, known.select("chunk_id", "terms", F.col("own").alias("numbers"), "source"), mode, k))
+    full = scored.join(known.select("chunk_id", "source"), "chunk_id").join(specs.select("id", "qid", "forced").distinct(), "qid").filter(F.col("forced").isNull() | (F.col("source") == F.col("forced"))).join(plan.select("id", "must"), "id")
+    found = full.filter(F.col("must").isNull() | (F.col("source") == F.col("must"))).select("id", "chunk_id", "source", "score", F.lit(1).alias("origin"))
     if mode in ("hybrid", "routed_hybrid"):
         mentions = plan.filter("kind = 'section_lookup'").select("id", F.posexplode("numbers").alias("mention_rank", "number"))
-        direct = seeds(mentions, known.select("chunk_id", F.explode("own").alias("number")), "id", "chunk_id").join(known.select("chunk_id", "source"), "chunk_id").join(plan.select("id", "must"), "id")
+        direct = seeds(mentions, first_of_sections(known.select("chunk_id", "source", F.explode("own").alias("number")), k), "id", "chunk_id").join(known.select("chunk_id", "source"), "chunk_id").join(plan.select("id", "must"), "id")
         found = found.unionByName(direct.filter(F.col("must").isNull() | (F.col("source") == F.col("must"))).select("id", "chunk_id", "source", "score", F.lit(0).alias("origin")))
     best = merged(found, ["id", "source", "chunk_id"], ["origin"]).join(plan.select("id", "sources", "diversify"), "id")
     n_sources = F.when(F.col("diversify"), F.size("sources")).otherwise(F.lit(1))

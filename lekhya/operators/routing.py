@@ -18,6 +18,8 @@ PROFILE = [
 SOURCES = ["muluki_ain", "domestic_violence"]
 BOTH_CUES = ["दुवै ऐन", "दुबै ऐन", "दुवै कानून", "दुबै कानून", "दुवै कानुन", "दुबै कानुन"]
 EXPLICIT_WEIGHT, SIGNAL = 100, 3
+#: Weight of meaning for section_lookup, definition and general questions.
+ALPHAS = (0.3, 0.6, 0.55)
 MODES = ["hybrid", "faiss_only", "bm25_only", "routed_hybrid"]
 
 
@@ -71,7 +73,7 @@ def query_type(c: Column) -> Column:
 
 
 def alpha(mode: Column, kind: Column) -> Column:
-    return F.when(mode == "faiss_only", 1.0).when(mode == "bm25_only", 0.0).when(kind == "section_lookup", 0.3).when(kind == "definition", 0.6).otherwise(0.55)
+    return F.when(mode == "faiss_only", 1.0).when(mode == "bm25_only", 0.0).when(kind == "section_lookup", ALPHAS[0]).when(kind == "definition", ALPHAS[1]).otherwise(ALPHAS[2])
 
 
 def mentioned_sections(c: Column) -> Column:

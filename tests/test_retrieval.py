@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lekhya.operators import dense, lexical, neardup, retrieval, routing
+from lekhya.operators import dense, lexical, meetings, neardup, retrieval, routing
 
 
 def test_dense_top_k_equals_brute_force(spark):
@@ -133,3 +133,66 @@ def test_variants_and_contexts(spark):
     assert retrieval.search(asked, chunks.limit(0), "bm25_only", 2).count() == 0
     with pytest.raises(ValueError):
         retrieval.search(asked, chunks, "other")
+
+
+def plainly(classes, texts, mode, k):
+    """Scores of the candidates of every query by the plain rule, over all pairs at once: {(qid, chunk_id): score} of the rows that count."""
+    n, avgdl = len(texts), np.mean([len(x[1]) for x in texts])
+    df = {w: sum(w in x[1] for x in texts) for w in {w for x in texts for w in x[1]}}
+    part = [{w: np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * x[1].count(w) * 2.5 / (x[1].count(w) + 1.5 * (0.25 + 0.75 * len(x[1]) / avgdl)) for w in set(x[1])} for x in texts]
+    vectors = np.array([dense.counts(x[1]) for x in texts])
+    norms = np.sqrt((vectors * vectors).sum(1))
+    found = {}
+    for qid, terms, asked, numbers, depth, kind in classes:
+        v = dense.counts(terms)
+        cosine = dict(zip((x[0] for x in texts), np.round(vectors @ v / np.maximum(norms * np.sqrt(v @ v), 1e-9), 6).tolist()))
+        words = {x[0]: round(sum(p[w] for w in asked if w in p), 6) for x, p in zip(texts, part) if any(w in p for w in asked)}
+        near = sorted(cosine, key=lambda i: (-cosine[i], i))[:depth]
+        pool = set(near) | (set(sorted(words, key=lambda i: (-words[i], i))[:depth]) if mode != "faiss_only" else set())
+        spread = lambda x: {i: 1.0 if max(x.values()) - min(x.values()) <= 1e-9 else (s - min(x.values())) / (max(x.values()) - min(x.values())) for i, s in x.items()}
+        sem, kw = spread({i: cosine[i] for i in near}), spread({i: words.get(i, 0.0) for i in pool})
+        own = {x[0]: x for x in texts}
+        score = {}
+        for i in pool:
+            hit, a = bool(set(own[i][2]) & set(numbers)), {"section_lookup": 0.3, "definition": 0.6, "general": 0.55}[kind]
+            s = sem.get(i, 0.0)
+            mixed = 0.15 * s + 0.25 * kw[i] + 0.6 if kind == "section_lookup" and hit else a * s + (1 - a) * kw[i] + 0.1 * hit
+            score[i] = round({"faiss_only": cosine[i], "bm25_only": kw[i]}.get(mode, mixed), 6)
+        ranked = sorted(score, key=lambda i: (-score[i], i))
+        best = set(ranked[:k]).union(*([i for i in ranked if own[i][3] == s][:k] for s in routing.SOURCES))
+        found |= {(qid, i): score[i] for i in best}
+    return found
+
+
+def met_and_plain(spark, mode):
+    rnd = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(60)] + ["w0", "w1", "w2"] * 20
+    texts = [(i, [rnd.choice(vocabulary) for _ in range(rnd.randint(0, 12))], [str(rnd.randint(1, 9))], rnd.choice([*routing.SOURCES, "other", None])) for i in range(1600)]
+    asked = [[rnd.choice([*vocabulary, "unheard"]) for _ in range(rnd.randint(0, 8))] for _ in range(530)]
+    classes = [(j, x, sorted(set(x) - {"w2"}), [str(rnd.randint(1, 9))] * (j % 2), 30 if j % 3 else 12, rnd.choice(["section_lookup", "definition", "general"])) for j, x in enumerate(asked)]
+    got = meetings.scored(
+        spark.createDataFrame(classes, "qid long, terms array<string>, asked array<string>, numbers array<string>, depth int, kind string"),
+        spark.createDataFrame(texts, "chunk_id long, terms array<string>, numbers array<string>, source string"), mode, 5,
+    )
+    got = {(r.qid, r.chunk_id): r.score for r in got.collect()}
+    assert len(got) <= 15 * len(classes)  # all that is shuffled
+    want = plainly(classes, texts, mode, 5)
+    assert got.keys() == want.keys() and np.allclose([got[x] for x in want], list(want.values()), atol=2e-6)
+
+
+def test_hybrid_meetings_equal_the_plain_rule(spark):
+    met_and_plain(spark, "hybrid")
+
+
+def test_first_of_sections_loses_no_best_seed(spark):
+    rnd = random.Random(3)
+    sections = spark.createDataFrame([(i, rnd.choice([*routing.SOURCES, "other"]), str(rnd.randint(1, 4))) for i in range(400)], "chunk_id long, source string, number string")
+    mentions = spark.createDataFrame([(f"q{j}", r, str(n)) for j in range(20) for r, n in enumerate(rnd.sample(range(1, 6), 3))], "id string, mention_rank int, number string")
+    few = retrieval.first_of_sections(sections, 5)
+    assert few.count() <= 4 * 15
+    for source in (None, *routing.SOURCES):
+        tops = []
+        for some in (sections.select("chunk_id", "number"), few):
+            seeded = retrieval.seeds(mentions, some, "id", "chunk_id").join(sections.select("chunk_id", "source"), "chunk_id").filter(F.lit(source is None) | (F.col("source") == source))
+            tops.append(sorted((r.id, r["rank"], r.chunk_id, r.score) for r in lexical.top(seeded, "id", "chunk_id", 5).collect()))
+        assert tops[0] == tops[1]
