@@ -55,6 +55,28 @@ def seeds(mentions: DataFrame, sections: DataFrame, qkey: str, key: str) -> Data
     return hit.withColumn("score", F.round(F.greatest(F.lit(0.80), 1.0 - 0.05 * F.col("mention_rank")), 6))
 
 
+#: Queries or texts of a list at most, where classes of them are paired.
+MEMBERS = 512
+
+
+def classed(rows: DataFrame, key: str, *label: str) -> tuple[DataFrame, DataFrame]:
+    """(class, label...) of the distinct sets of labels, and (class, members): the keys that have such a set, in lists of about ``MEMBERS`` at most."""
+    sets = rows.groupBy(key).agg(F.array_sort(F.collect_set(F.struct(*label))).alias("labels")).withColumn("class", F.xxhash64("labels"))
+    sizes = cut(sets.groupBy("class").agg(F.first("labels").alias("labels"), F.ceil(F.count(F.lit(1)) / MEMBERS).alias("lists")))
+    dealt = sets.select(key, "class").join(sizes.select("class", "lists"), "class").groupBy("class", F.pmod(F.xxhash64(key), F.col("lists"))).agg(F.collect_list(key).alias("members"))
+    return sizes.select("class", F.explode("labels").alias("label")).select("class", "label.*"), dealt.select("class", "members")
+
+
+def all_seeds(mentions: DataFrame, sections: DataFrame, qkey: str, key: str) -> DataFrame:
+    """``seeds``, where every pair is a row of the result: sets of labels recur, so what is joined, scored and shuffled are
+    pairs of sets, and their members unfold to rows only where these are written."""
+    (asked, askers), (own, owners) = classed(mentions, qkey, "number", "mention_rank"), classed(sections, key, "number")
+    pairs = seeds(asked.withColumnRenamed("class", "q"), own.withColumnRenamed("class", "t"), "q", "t")
+    lists = pairs.join(askers.toDF("q", "qs"), "q").join(owners.toDF("t", "ts"), "t").drop("q", "t")
+    dealt = lists.repartition(16 * mentions.sparkSession.sparkContext.defaultParallelism)  # small as input, so it would go to few tasks
+    return dealt.select(F.explode("qs").alias(qkey), "ts", "mention_rank", "score").select(qkey, F.explode("ts").alias(key), "mention_rank", "score")
+
+
 def first_of_sections(sections: DataFrame, k: int) -> DataFrame:
     """(chunk_id, number) of ``sections`` (chunk_id, source, number) that can be among the k best seeds of all or of a routed source.
 

@@ -126,7 +126,7 @@ def chunk_numbers(t):
 
 @query(f"SELECT id, chunk_id, CAST(min(mention_rank) AS INTEGER) AS mention_rank, round(greatest(0.80, 1.0 - 0.05 * min(mention_rank)), 6)::DOUBLE AS score FROM {_REQUIRED} JOIN {_SECTIONS} USING (number) GROUP BY id, chunk_id")
 def section_seed(t):
-    return retrieval.seeds(required_numbers(t), chunk_numbers(t), "id", "chunk_id")
+    return retrieval.all_seeds(required_numbers(t), chunk_numbers(t), "id", "chunk_id")
 
 
 _BOOST = f"(SELECT r.search_id, max(CASE WHEN q.number IS NOT NULL THEN 1.0 ELSE 0.0 END) AS boost FROM search_results r LEFT JOIN {_SECTIONS} s USING (chunk_id) LEFT JOIN {_REQUIRED} q ON q.id = r.question_id AND q.number = s.number GROUP BY r.search_id)"

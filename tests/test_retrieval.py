@@ -196,3 +196,15 @@ def test_first_of_sections_loses_no_best_seed(spark):
             seeded = retrieval.seeds(mentions, some, "id", "chunk_id").join(sections.select("chunk_id", "source"), "chunk_id").filter(F.lit(source is None) | (F.col("source") == source))
             tops.append(sorted((r.id, r["rank"], r.chunk_id, r.score) for r in lexical.top(seeded, "id", "chunk_id", 5).collect()))
         assert tops[0] == tops[1]
+
+
+def test_all_seeds_shuffle_sets_not_pairs(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "MEMBERS", 50)
+    mentions = spark.createDataFrame([(f"q{j}", r, str((j + r) % 7)) for j in range(300) for r in range(1 + j % 3)], "id string, mention_rank int, number string")
+    sections = spark.createDataFrame([(i, str((i + r) % 7)) for i in range(400) for r in range(1 + i % 2)], "chunk_id long, number string")
+    plain = lambda df: sorted((r.id, r.chunk_id, r.mention_rank, r.score) for r in df.select("id", "chunk_id", "mention_rank", "score").collect())
+    got = retrieval.all_seeds(mentions, sections, "id", "chunk_id")
+    assert got.dtypes == retrieval.seeds(mentions, sections, "id", "chunk_id").dtypes
+    assert plain(got) == plain(retrieval.seeds(mentions, sections, "id", "chunk_id"))
+    unfolded = got._jdf.queryExecution().optimizedPlan().toString()
+    assert unfolded.index("Generate explode(ts") < unfolded.index("Repartition")  # rows of the result meet no shuffle
