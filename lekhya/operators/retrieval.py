@@ -73,7 +73,7 @@ def all_seeds(mentions: DataFrame, sections: DataFrame, qkey: str, key: str) ->
     (asked, askers), (own, owners) = classed(mentions, qkey, "number", "mention_rank"), classed(sections, key, "number")
     pairs = seeds(asked.withColumnRenamed("class", "q"), own.withColumnRenamed("class", "t"), "q", "t")
     lists = pairs.join(askers.toDF("q", "qs"), "q").join(owners.toDF("t", "ts"), "t").drop("q", "t")
-    dealt = lists.repartition(16 * mentions.sparkSession.sparkContext.defaultParallelism)  # small as input, so it would go to few tasks
+    dealt = cut(lists.repartition(16 * mentions.sparkSession.sparkContext.defaultParallelism))  # small as input, so it would go to few tasks
     return dealt.select(F.explode("qs").alias(qkey), "ts", "mention_rank", "score").select(qkey, F.explode("ts").alias(key), "mention_rank", "score")
 
 
