@@ -188,6 +188,10 @@ def test_routed_meetings_equal_the_plain_rule(spark):
     met_and_plain(spark, "routed_hybrid")
 
 
+def test_keyword_meetings_equal_the_plain_rule(spark):
+    met_and_plain(spark, "bm25_only")
+
+
 def test_first_of_sections_loses_no_best_seed(spark):
     rnd = random.Random(3)
     sections = spark.createDataFrame([(i, rnd.choice([*routing.SOURCES, "other"]), str(rnd.randint(1, 4))) for i in range(400)], "chunk_id long, source string, number string")
