@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,6 +181,41 @@ def met_and_plain(spark, mode):
     assert got.keys() == want.keys() and np.allclose([got[x] for x in want], list(want.values()), atol=2e-6)
 
 
+def alone(classes, texts, mode, k):
+    """The scores a meeting gives without Spark around it, and the meeting."""
+    number = {w: i for i, w in enumerate(sorted({w for x in texts for w in (*x[1], *x[2])} | {w for x in classes for w in (*x[2], *x[3])}))}
+    told = lambda words: [number[w] for w in words]
+    vec = lambda words: dense.counts(words).astype(np.int32).tobytes()
+    df = {w: sum(w in x[1] for x in texts) for w in {w for x in texts for w in x[1]}}
+    parts = [
+        [(number[w], [], None, [], n, 0) for w, n in df.items()],
+        [(qid, told(asked), vec(terms), told(numbers), depth, meetings.KINDS.index(kind)) for qid, terms, asked, numbers, depth, kind in classes],
+        [(i, told(terms), vec(terms), told(numbers), routing.SOURCES.index(s) if s in routing.SOURCES else -1, 0) for i, terms, numbers, s in texts],
+    ]
+    types = pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.int32()
+    meeting = meetings.Meeting(mode, k, len(texts), np.mean([len(x[1]) for x in texts]))
+    for part, rows in enumerate(parts):
+        for low in range(0, len(rows), 100):
+            meeting.take(part, pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[low : low + 100]), types)], names=["key", "terms", "vec", "numbers", "n", "kind"]))
+    return {(q, i): s for batch in meeting.results() for q, i, s in zip(*(batch.column(c).to_pylist() for c in ("qid", "chunk_id", "score")))}, meeting
+
+
+@pytest.mark.parametrize("mode", routing.MODES)
+def test_cells_are_told_in_single_precision_and_rows_kept_exactly(monkeypatch, mode):
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(40)] + ["w0", "w1"] * 15
+    texts = [(i, [rnd.choice(words) for _ in range(rnd.randint(0, 9))], [str(rnd.randint(1, 4))], rnd.choice([*routing.SOURCES, "other"])) for i in range(450)]
+    texts += [(1000 - i, ["w3", "w4"], ["1"], "muluki_ain") for i in range(300)]  # equal, so told apart by key
+    asked = [[rnd.choice(words) for _ in range(rnd.randint(0, 7))] for _ in range(70)] + [["w3"], ["w3", "w4"], []]
+    classes = [(j, x, sorted(set(x) - {"w2"}), [str(rnd.randint(1, 4))] * (j % 2), 20 if j % 3 else 8, rnd.choice(meetings.KINDS)) for j, x in enumerate(asked)]
+    for name, size in (("ROWS", 16), ("TEXTS", 64), ("STORED", 500)):
+        monkeypatch.setattr(meetings, name, size)
+    got, meeting = alone(classes, texts, mode, 5)
+    want = plainly(classes, texts, mode, 5)
+    assert got.keys() == want.keys() and np.allclose([got[x] for x in want], list(want.values()), atol=2e-6)
+    assert meeting.room.dtype == np.float32 and not meeting.stored
+
+
 def test_hybrid_meetings_equal_the_plain_rule(spark):
     met_and_plain(spark, "hybrid")
 
