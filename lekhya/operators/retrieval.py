@@ -101,7 +101,7 @@ def variant_specs(plan: DataFrame) -> DataFrame:
 def planned(questions: DataFrame, mode: str, k: int, n: int) -> DataFrame:
     """A row per question (id not null, the smallest text of an id): route, constraint, kind, mentioned sections and depth of the search."""
     asked = questions.filter(F.col("id").isNotNull()).groupBy("id").agg(F.min("question").alias("question"))
-    routed = routing.routes(asked, "id", "question").withColumn("must", routing.constraint(F.lit(mode))).join(asked, "id")
+    routed = routing.routes(asked.select(F.struct("id", "question").alias("row"), "question"), "row", "question").withColumn("must", routing.constraint(F.lit(mode))).select("row.*", "*")
     text = F.coalesce("question", F.lit(""))
     told = routed.withColumn("kind", routing.query_type(text)).withColumn("numbers", routing.mentioned_sections(text)).withColumn("diversify", F.col("diversify") & F.lit(mode == "routed_hybrid"))
     return told.withColumn("depth", search_depth(k, n, F.col("diversify") | F.col("must").isNotNull())).select("id", "question", "kind", "numbers", "must", "depth", "sources", "diversify")

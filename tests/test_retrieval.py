@@ -136,6 +136,13 @@ def test_variants_and_contexts(spark):
         retrieval.search(asked, chunks, "other")
 
 
+def test_plan_reads_the_questions_once(spark):
+    asked = spark.createDataFrame([("a", "करार के हो"), ("a", None), ("b", "दफा ५"), (None, "x")], "id string, question string")
+    plan = retrieval.planned(asked, "routed_hybrid", 5, 100)
+    assert "Join" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.id, r.question, r.kind, r.must, r.depth) for r in plan.collect()) == [("a", "करार के हो", "definition", "muluki_ain", 60), ("b", "दफा ५", "section_lookup", None, 30)]
+
+
 def plainly(classes, texts, mode, k):
     """Scores of the candidates of every query by the plain rule, over all pairs at once: {(qid, chunk_id): score} of the rows that count."""
     n, avgdl = len(texts), np.mean([len(x[1]) for x in texts])
